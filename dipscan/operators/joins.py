@@ -106,3 +106,21 @@ def dip_rows(df: DataFrame, cands: DataFrame, extent: DataFrame, reach: float) -
 def candidate_rows(df: DataFrame, cands: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every row of a target once per candidate of it (for out-of-dip statistics)."""
     return df.join(cands.select("cand_id", *columns), "tic_id")
+
+
+def ratio_pairs(a: DataFrame, b: DataFrame, ratios: Sequence[float], tol: float) -> DataFrame:
+    """Pairs of one target whose period ratio a/b is within ``tol`` of one of ``ratios``.
+
+    An equi join on (target, step of log period): only pairs whose periods agree meet. The
+    sides are addressed as ``a.*`` and ``b.*``; ``ratio`` is the one that matched. The step
+    test is slightly wider than ``tol``; callers apply their exact condition.
+    """
+    width = 2.2 * tol
+    left = a.withColumn("ratio", F.explode(F.array(*[F.lit(float(x)) for x in ratios])))
+    want = F.log(F.col("period") / F.col("ratio"))
+    span = F.sequence(F.floor((want - 1.05 * tol) / width), F.floor((want + 1.05 * tol) / width))
+    left = left.withColumn("_step", F.explode(span)).alias("a")
+    right = b.withColumn("_step", F.floor(F.log("period") / width)).alias("b")
+    on = (F.col("a.tic_id") == F.col("b.tic_id")) & (F.col("a._step") == F.col("b._step"))
+    near_ratio = F.abs(F.col("a.period") / (F.col("ratio") * F.col("b.period")) - 1.0) < 1.05 * tol
+    return left.join(right, on).where(near_ratio)

@@ -189,3 +189,68 @@ def box_power(
         middle = (best_at[:, 0] + 0.5 * np.maximum(best_at[:, 1], 1)) * step
         out["t0"][part] = t_ref + middle - p * np.floor(middle / p)
     return out
+
+
+def sine_power(t: np.ndarray, y: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of the variance a sinusoid with a free mean explains, and its semi-amplitude."""
+    power, amplitude = np.zeros(freq.size), np.zeros(freq.size)
+    rel, yc = t - t.min(), y - y.mean()
+    yy = (yc * yc).mean()
+    group = max(1, int(2e6 // max(t.size, 1)))
+    for start in range(0, freq.size, group):
+        part = slice(start, start + group)
+        angle = 2 * np.pi * freq[part, None] * rel
+        c, s = np.cos(angle), np.sin(angle)
+        mc, ms = c.mean(axis=1), s.mean(axis=1)
+        c2 = (c * c).mean(axis=1)
+        cc, ss = c2 - mc * mc, 1.0 - c2 - ms * ms
+        cs = (c * s).mean(axis=1) - mc * ms
+        qc, qs = c @ yc / t.size, s @ yc / t.size
+        det = cc * ss - cs * cs
+        det = np.where(np.abs(det) > 1e-15, det, np.inf)
+        if yy > 0:
+            power[part] = (ss * qc**2 + cc * qs**2 - 2 * cs * qc * qs) / (yy * det)
+        amplitude[part] = np.hypot((qc * ss - qs * cs) / det, (qs * cc - qc * cs) / det)
+    return power, amplitude
+
+
+def rank_peaks(
+    period: np.ndarray,
+    power: np.ndarray,
+    sde: np.ndarray,
+    eligible: np.ndarray,
+    max_ranked: int,
+    max_examined: int,
+) -> list[tuple[int, int]]:
+    """(peak, best family member) in the order peaks deserve a look; ``period`` ascending.
+
+    By falling score; nothing within 1 % of a period already looked at, and each family of
+    multiples once, at the member with clearly (1.2x) more power.
+    """
+    seen: list[float] = []
+    out: list[tuple[int, int]] = []
+
+    def is_seen(p: float) -> bool:
+        return any(abs(p - s) < 0.01 * s for s in seen)
+
+    order = np.argsort(sde, kind="stable")[::-1]
+    for top in order[eligible[order]][:max_ranked]:
+        if is_seen(period[top]):
+            continue
+        seen.append(float(period[top]))
+        best = int(top)
+        for ratio in (1 / 3, 1 / 2, 2, 3):
+            span = period[top] * ratio * np.array([0.997, 1.003])
+            lo, hi = np.searchsorted(period, span)
+            if hi > lo:
+                j = int(lo + np.argmax(power[lo:hi]))
+                if power[j] > 1.2 * power[top] and power[j] > power[best]:
+                    best = j
+        if best != top:
+            if is_seen(period[best]):
+                continue
+            seen.append(float(period[best]))
+        out.append((int(top), best))
+        if len(seen) >= max_examined:
+            break
+    return out

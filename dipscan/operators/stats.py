@@ -228,16 +228,19 @@ def binned_rms(
     value: str = "flux",
     min_fraction: float = 0.5,
     name: str = "rms",
+    spacing: DataFrame | None = None,
 ) -> DataFrame:
     """Robust scatter of bin means, for bins with at least half the expected samples.
 
     ``df`` must carry ``t``, ``t_us`` and ``value``; ``width`` is constant per key. The bins
     of a key are few (its baseline over the width), so their medians are bounded groups.
+    ``spacing`` gives known cadences by any subset of the keys.
     """
     rows = df.where(finite(F.col("t"), F.col(value))).withColumn("_w", width)
-    cad = cadence(rows, keys)
+    cad = cadence(rows, keys) if spacing is None else spacing
+    on = [k for k in keys if k in cad.columns]
     bins = bin_rows(rows, [*keys, "_w"], "t", value, F.col("_w"))
-    kept = bins.join(cad, list(keys)).where(
+    kept = bins.join(cad, on).where(
         F.col("count") >= min_fraction * F.greatest(F.col("_w") / F.col("cadence"), F.lit(1.0))
     )
     out = robust_std(kept, list(keys), F.col("y_mean"), name, bounded=True)
@@ -248,7 +251,10 @@ def cdpp(df: DataFrame, hours: Sequence[float] = (0.5, 1.0, 2.0)) -> DataFrame:
     """Scatter of the flux on each of the given timescales, in ppm: tic_id, hours, cdpp_ppm."""
     widths = F.explode(F.array(*[F.lit(float(h)) for h in hours])).alias("hours")
     rows = df.select("tic_id", "t", "t_us", "flux", widths)
-    out = binned_rms(rows, ["tic_id", "hours"], F.col("hours") / 24.0, name="_rms")
+    spacing = cadence(df, ["tic_id"])
+    out = binned_rms(
+        rows, ["tic_id", "hours"], F.col("hours") / 24.0, name="_rms", spacing=spacing
+    )
     return out.select("tic_id", "hours", (F.col("_rms") * 1e6).alias("cdpp_ppm"))
 
 

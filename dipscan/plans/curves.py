@@ -23,6 +23,11 @@ def r(c: str | Column, digits: int = 9) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def rs(c: str | Column) -> Column:
+    """Rounded off the half-way points on which means of few decimals like to fall."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 3.7e-10, 9)
+
+
 def raw_view(spark: SparkSession, d: str) -> DataFrame:
     """The cadence view in the columns of raw photometry."""
     return V.cadences(spark, d).select(
@@ -240,12 +245,12 @@ def robust_std(spark, d):
 
 
 @query("bin_timeseries", with_views("lc", """
-SELECT tic_id, CAST(floor((t - x0) / 0.25D) AS BIGINT) AS bin, round(avg(t), 9) AS x_mean, round(avg(flux), 9) AS y_mean,
+SELECT tic_id, CAST(floor((t - x0) / 0.25D) AS BIGINT) AS bin, round(avg(t) + 3.7e-10D, 9) AS x_mean, round(avg(flux) + 3.7e-10D, 9) AS y_mean,
   round(CASE WHEN count(*) > 1 THEN stddev_samp(flux) / sqrt(count(*)) END, 9) AS y_err, count(*) AS count
 FROM lc JOIN (SELECT tic_id, min(t) AS x0 FROM lc GROUP BY 1) USING (tic_id) GROUP BY 1, 2"""))
 def bin_timeseries(spark, d):
     out = A.bin_rows(V.lc(spark, d), ["tic_id"], "t", "flux", 0.25)
-    return out.select("tic_id", "bin", r("x_mean").alias("x_mean"), r("y_mean").alias("y_mean"),
+    return out.select("tic_id", "bin", rs("x_mean").alias("x_mean"), rs("y_mean").alias("y_mean"),
                       r("y_err").alias("y_err"), "count")
 
 
@@ -405,7 +410,7 @@ SCALED = """SELECT w.*, med, mad_ FROM win w JOIN (SELECT tic_id, event_id, any_
 def slide(spark: SparkSession, d: str, method: str, passes: int = 3) -> DataFrame:
     cfg = DetrendConfig(method=method, break_tolerance=5.0, passes=passes)
     out = D.sliding_trend(V.lc(spark, d), ["tic_id"], cfg)
-    return out.select("tic_id", "event_id", r("trend").alias("trend"))
+    return out.select("tic_id", "event_id", rs("trend").alias("trend"))
 
 
 def _reweighted(weight: str, passes: int, scale: str) -> dict[str, str]:
@@ -420,7 +425,7 @@ def _reweighted(weight: str, passes: int, scale: str) -> dict[str, str]:
 
 
 def _estimator(name: str, weight: str, scale: str, passes: int = 3) -> str:
-    return with_views("lc", f"SELECT tic_id, event_id, round(c, 9) AS trend FROM c{passes}",
+    return with_views("lc", f"SELECT tic_id, event_id, round(c + 3.7e-10D, 9) AS trend FROM c{passes}",
                       win=WINDOW, scaled=SCALED, **_reweighted(weight, passes, scale))
 
 
@@ -431,21 +436,21 @@ ESTIMATOR_SQL = {
     "welsch": _estimator("welsch", "exp(-least(u * u, 700.0D))", "2.11D * 1.4826D * s.mad_"),
     "andrewsinewave": _estimator("andrewsinewave",
         "CASE WHEN u = 0 THEN 1.0D WHEN abs(u) <= pi() THEN sin(abs(u)) / abs(u) ELSE 0.0D END", "1.339D * 1.4826D * s.mad_"),
-    "mean": with_views("lc", "SELECT tic_id, event_id, round(avg(v), 9) AS trend FROM win GROUP BY 1, 2", win=WINDOW),
-    "median": with_views("lc", "SELECT tic_id, event_id, round(median(v), 9) AS trend FROM win GROUP BY 1, 2", win=WINDOW),
-    "trim_mean": with_views("lc", """SELECT tic_id, event_id, round(avg(v), 9) AS trend
+    "mean": with_views("lc", "SELECT tic_id, event_id, round(avg(v) + 3.7e-10D, 9) AS trend FROM win GROUP BY 1, 2", win=WINDOW),
+    "median": with_views("lc", "SELECT tic_id, event_id, round(median(v) + 3.7e-10D, 9) AS trend FROM win GROUP BY 1, 2", win=WINDOW),
+    "trim_mean": with_views("lc", """SELECT tic_id, event_id, round(avg(v) + 3.7e-10D, 9) AS trend
       FROM (SELECT *, row_number() OVER (PARTITION BY tic_id, event_id ORDER BY v) - 1 AS i,
               count(*) OVER (PARTITION BY tic_id, event_id) AS n FROM win)
       WHERE i >= CAST(floor(0.1D * n) AS INT) AND i < n - CAST(floor(0.1D * n) AS INT) GROUP BY 1, 2""", win=WINDOW),
-    "winsorize": with_views("lc", """SELECT tic_id, event_id, round(avg(least(greatest(v, lo), hi)), 9) AS trend FROM (
+    "winsorize": with_views("lc", """SELECT tic_id, event_id, round(avg(least(greatest(v, lo), hi)) + 3.7e-10D, 9) AS trend FROM (
       SELECT tic_id, event_id, v, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY tic_id, event_id) AS lo,
         max(CASE WHEN i = n - 1 - k THEN v END) OVER (PARTITION BY tic_id, event_id) AS hi
       FROM (SELECT *, CAST(floor(0.1D * n) AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY tic_id, event_id ORDER BY v) - 1 AS i,
               count(*) OVER (PARTITION BY tic_id, event_id) AS n FROM win))) GROUP BY 1, 2""", win=WINDOW),
     "hampelfilt": with_views("lc", """SELECT tic_id, event_id,
-      round(avg(CASE WHEN abs(v - med) > 3.0D * 1.4826D * mad_ THEN med ELSE v END), 9) AS trend
+      round(avg(CASE WHEN abs(v - med) > 3.0D * 1.4826D * mad_ THEN med ELSE v END) + 3.7e-10D, 9) AS trend
       FROM scaled GROUP BY 1, 2""", win=WINDOW, scaled=SCALED),
-    "hodges": with_views("lc", """SELECT a.tic_id, a.event_id, round(median(0.5D * (a.v + b.v)), 9) AS trend
+    "hodges": with_views("lc", """SELECT a.tic_id, a.event_id, round(median(0.5D * (a.v + b.v)) + 3.7e-10D, 9) AS trend
       FROM num a JOIN num b ON a.tic_id = b.tic_id AND a.event_id = b.event_id AND a.i <= b.i GROUP BY 1, 2""",
       win=WINDOW, num="SELECT *, row_number() OVER (PARTITION BY tic_id, event_id ORDER BY v) AS i FROM win"),
 }
@@ -484,11 +489,11 @@ def edge_cutoff(spark, d):
 
 # ---- event windows
 @query("nearest_dump", with_views("lc dumps", """
-SELECT lc.tic_id, event_id, round(min(abs(lc.t - dumps.t)), 9) AS distance
+SELECT lc.tic_id, event_id, round(min(abs(lc.t - dumps.t)) + 3.7e-10D, 9) AS distance
 FROM lc JOIN dumps USING (tic_id) GROUP BY 1, 2"""))
 def nearest_dump(spark, d):
     out = J.nearest_event(V.lc(spark, d), V.dumps(spark, d))
-    return out.select("tic_id", "event_id", r("distance").alias("distance"))
+    return out.select("tic_id", "event_id", rs("distance").alias("distance"))
 
 
 @query("drop_event_windows", with_views("lc dumps", """
