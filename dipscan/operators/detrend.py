@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import DetrendConfig
 from ..functions.expr import finite, fold
+from ..session import spread
 from .kernels import METHODS, TUNING, sliding_location
 from .sequence import _us, lerp, with_segments
 
@@ -81,7 +82,8 @@ def sliding_trend(
         )
         return pdf.loc[core, columns].assign(trend=trend)
 
-    return rows.groupBy(*keys, "segment", "_block").applyInPandas(evaluate, schema)
+    group = [*keys, "segment", "_block"]
+    return spread(rows, *group).groupBy(*group).applyInPandas(evaluate, schema)
 
 
 def fill_trend(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -102,16 +102,6 @@ def _hodges(x: np.ndarray) -> float:
     return float(np.median(0.5 * (x[i] + x[j])))
 
 
-def greedy_keep(time: np.ndarray, reach: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Strongest first, drop what lies within the longer reach of one already kept."""
-    kept: list[int] = []
-    for i in np.lexsort((time, -score)):
-        near = [abs(time[i] - time[k]) < max(reach[i], reach[k]) for k in kept]
-        if not any(near):
-            kept.append(i)
-    return np.sort(np.array(kept, dtype=int))
-
-
 def box_power(
     t: np.ndarray,
     y: np.ndarray,
@@ -254,3 +244,76 @@ def rank_peaks(
         if len(seen) >= max_examined:
             break
     return out
+
+
+def trapezoid_shape(x: np.ndarray, total: np.ndarray, ingress: np.ndarray) -> np.ndarray:
+    """Unit-depth trapezoid at distances ``x`` from its middle."""
+    half = 0.5 * total
+    tau = np.maximum(0.5 * ingress * total, 1e-9)
+    return np.clip((half - np.abs(x)) / tau, 0.0, 1.0)
+
+
+def fit_trapezoid(
+    x: np.ndarray, y: np.ndarray, n: np.ndarray, duration: float
+) -> dict[str, float]:
+    """Best trapezoid through weighted bins: a grid refined around its minimum.
+
+    The depth is linear, so the grid spans only the middle, the duration and the ingress
+    fraction; each of the refinements shrinks it threefold.
+    """
+    low = np.array([-duration / 4, 0.3 * duration, 0.01])
+    high = np.array([duration / 4, 2.5 * duration, 1.0])
+    box = [low.copy(), high.copy()]
+    best = (np.inf, 0.0, np.zeros(3))
+    drop = 1.0 - y
+    for step in range(9):
+        axes = [np.linspace(a, b, 9 if step else 13) for a, b in zip(*box, strict=True)]
+        grid = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
+        s = trapezoid_shape(x - grid[:, :1], grid[:, 1:2], grid[:, 2:])
+        ss = (n * s * s).sum(axis=1)
+        depth = np.clip((n * s * drop).sum(axis=1) / np.where(ss > 0, ss, 1.0), 0.0, 1.0)
+        cost = (n * (drop - depth[:, None] * s) ** 2).sum(axis=1)
+        i = int(cost.argmin())
+        if cost[i] < best[0]:
+            best = (float(cost[i]), float(depth[i]), grid[i])
+        reach = (box[1] - box[0]) / 4
+        box = [np.maximum(best[2] - reach, low), np.minimum(best[2] + reach, high)]
+    p = np.array([best[2][0], best[1], best[2][1], best[2][2]])
+    jac = []
+    for k in range(4):
+        h = 1e-4 * max(abs(p[k]), 1e-3 * duration)
+        a, b = p.copy(), p.copy()
+        a[k] -= h
+        b[k] += h
+        m = [q[1] * trapezoid_shape(x - q[0], q[2], q[3]) for q in (a, b)]
+        jac.append(np.sqrt(n) * (m[1] - m[0]) / (2 * h))
+    info = np.array(jac) @ np.array(jac).T
+    try:
+        var = np.linalg.inv(info)[3, 3] * best[0] / max(x.size - 4, 1)
+    except np.linalg.LinAlgError:
+        var = np.nan
+    err = float(np.sqrt(var)) if var >= 0 else np.nan
+    return {"tc": p[0], "fit_depth": p[1], "t14": p[2], "ingress_fraction": p[3], "ingress_err": err}
+
+
+def fit_shift(
+    dt: np.ndarray, f: np.ndarray, w: np.ndarray, duration: float, depth: float, ingress: float
+) -> tuple[float, float]:
+    """Shift of a fixed trapezoid (with a free level) that fits best, and its error (or NaN)."""
+
+    def chi2(shift: np.ndarray) -> np.ndarray:
+        m = 1.0 - depth * trapezoid_shape(dt - shift[:, None], duration, ingress)
+        level = (w * f * m).sum(axis=1) / (w * m * m).sum(axis=1)
+        return (w * (f - level[:, None] * m) ** 2).sum(axis=1)
+
+    centre, reach = 0.0, 0.5 * duration
+    for _ in range(4):
+        grid = np.clip(np.linspace(centre - reach, centre + reach, 81), -duration / 2, duration / 2)
+        cost = chi2(grid)
+        centre, reach = float(grid[cost.argmin()]), reach / 20
+    h = duration / 200
+    left, middle, right = chi2(np.array([centre - h, centre, centre + h]))
+    curvature = (left - 2 * middle + right) / h**2
+    if curvature <= 0 or dt.size < 10:
+        return centre, np.nan
+    return centre, float(np.sqrt(2 / curvature) * np.sqrt(max(1.0, middle / (dt.size - 2))))

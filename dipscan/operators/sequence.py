@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from ..config import CleaningConfig
 from ..functions.expr import finite
-from ..session import materialize
-from .kernels import centered_median, greedy_keep
+from ..session import materialize, spread
+from .kernels import centered_median
 from .stats import CHUNK_US, medians, robust_std, steps
 
 BLOCK_ROWS = 2048
@@ -138,7 +138,7 @@ def running_median(
         trend = v[core] if n == 1 else centered_median(v[at], size)
         return pdf.loc[core, keep].assign(**{name: trend})
 
-    return rows.groupBy(*seg, "_block").applyInPandas(block, schema)
+    return spread(rows, *seg, "_block").groupBy(*seg, "_block").applyInPandas(block, schema)
 
 
 # ---- interpolation
@@ -245,13 +245,14 @@ def local_maxima(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
 
 
 def suppress(
-    df: DataFrame, keys: Sequence[str], at: str, reach: Column, score: str
+    df: DataFrame, keys: Sequence[str], at: str, reach: Column, score: str, limit: int | None = None
 ) -> DataFrame:
     """Keep the strongest row, drop weaker ones within the longer of the two reaches, repeat.
 
     Rows farther apart than the key's longest reach never meet, so each run of nearby rows
     is settled on its own. The rows are events on a time grid, whose number a target's
-    baseline bounds.
+    baseline bounds. ``limit`` keeps only that many of each run's strongest (enough when the
+    caller wants no more per key).
     """
     rows = df.withColumn("_reach", reach.cast("double"))
     order = Window.partitionBy(*keys).orderBy(at)
@@ -261,12 +262,24 @@ def suppress(
     rows = rows.withColumn("_fresh", fresh.cast("int")).withColumn(
         "_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    columns = df.columns
+    entry = F.struct(
+        (-F.col(score)).alias("_rank"), F.col(at).cast("double").alias("_at"), "_reach",
+        F.struct(*df.columns).alias("_row"),
+    )
+    runs = rows.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(entry)).alias("_todo"))
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = greedy_keep(
-            pdf[at].to_numpy(float), pdf["_reach"].to_numpy(), pdf[score].to_numpy(float)
+    def clashes(kept: Column, x: Column) -> Column:
+        return F.exists(
+            kept,
+            lambda k: F.abs(k["_at"] - x["_at"]) < F.greatest(k["_reach"], x["_reach"]),
         )
-        return pdf.iloc[keep][columns]
 
-    return rows.groupBy(*keys, "_run").applyInPandas(settle, df.schema)
+    def full(kept: Column) -> Column:
+        return F.lit(False) if limit is None else F.size(kept) >= limit
+
+    kept = F.aggregate(
+        "_todo",
+        F.slice("_todo", 1, 0),
+        lambda kept, x: F.when(full(kept) | clashes(kept, x), kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    return runs.select(F.explode(kept).alias("_k")).select("_k._row.*")

@@ -1 +1,49 @@
-"""Study-level operators."""
+"""Study-level operators: injections, completeness, calibration tables, re-searches."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.expr import trapezoid
+from .joins import dip_rows
+from .search import false_alarm_probability, sine_spectrum
+
+
+def amplitude(
+    lc: DataFrame, cands: DataFrame, curves: DataFrame, ingress_fraction: Column, sigma: Column
+) -> DataFrame:
+    """Least-squares amplitude of each candidate's trapezoid in 1 - flux, and its error."""
+    rows = dip_rows(lc.select("tic_id", "t", "flux"), cands, curves, 0.5)
+    s = 1.0 - trapezoid(F.col("dt"), F.lit(1.0), F.col("duration"), ingress_fraction)
+    rows = rows.withColumn("_s", s)
+    ss = F.sum(F.col("_s") * F.col("_s"))
+    out = rows.groupBy("cand_id").agg(
+        (F.sum(F.col("_s") * (1.0 - F.col("flux"))) / ss).alias("amplitude"),
+        (F.max(sigma) / F.sqrt(ss)).alias("err"),
+        ss.alias("_ss"),
+    )
+    return out.where(F.col("_ss") > 0).drop("_ss")
+
+
+def sector_sines(lc: DataFrame, cands: DataFrame, min_power: float = 0.05) -> DataFrame:
+    """Per target and sector: strongest sinusoid of 0.1 to 15 days, its false-alarm bound, and
+    whether it sits at once, half or twice the candidate's period."""
+    keys = ["tic_id", "sector"]
+    size = lc.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_pop("t").alias("_sd")
+    ).where("n >= 200")
+    rows = lc.join(size.select(*keys), keys, "left_semi")
+    best = sine_spectrum(rows, 0.1, 15.0, keys=keys).groupBy(*keys).agg(
+        F.max(F.struct("power", (-F.col("freq")).alias("nf"), "amplitude")).alias("b")
+    )
+    out = best.join(size, keys).select(
+        *keys, (-1.0 / F.col("b.nf")).alias("sine_period"), F.col("b.power").alias("power"),
+        (F.col("b.amplitude") * 1e6).alias("amplitude_ppm"),
+        false_alarm_probability(F.col("b.power"), F.col("n"), F.lit(10.0), F.col("_sd")).alias("fap"),
+    )
+    out = out.join(cands.select("tic_id", "period"), "tic_id", "left")
+    at = F.lit(False)
+    for k in (0.5, 1.0, 2.0):
+        at = at | (F.abs(F.col("period") / (F.col("sine_period") * k) - 1.0) < 0.05)
+    return out.withColumn("matches", F.coalesce(at & (F.col("power") > min_power), F.lit(False)))

@@ -18,7 +18,7 @@ from .views import with_views
 #: A grid coarse enough for the independent engine to repeat in full.
 COARSE = SearchConfig(
     min_duration=0.1, max_duration=0.3, frequency_oversample=1.0, bin_minutes=30.0,
-    bls_oversample=5, bands_per_decade=3,
+    bls_oversample=3, bands_per_decade=3,
 )
 EXTENT = "SELECT tic_id, min(t) AS t_min, max(t) AS t_max, max(t) - min(t) AS baseline, count(*) AS n FROM lc GROUP BY 1"
 
@@ -110,15 +110,16 @@ FROM (SELECT b.*, CASE WHEN wy < 0 AND w > 1e-9D * tot AND tot - w > 1e-9D * tot
       FROM lc JOIN (SELECT DISTINCT tic_id, factor FROM grid) USING (tic_id) JOIN (SELECT tic_id, t_min FROM ext) USING (tic_id)
       GROUP BY tic_id, factor, floor((t - t_min) / (factor * (30.0D / 1440.0D)))""",
     ref="SELECT tic_id, factor, min(t) AS t_ref, sum(w * y) / sum(w) AS mu, sum(w) AS tot FROM pts GROUP BY 1, 2",
-    cells="""SELECT tr.tic_id, tr.band, tr.k, tr.period, tot, CAST(least(floor((t - t_ref - tr.period * floor((t - t_ref) / tr.period)) / (d_min / 5)), ceil(tr.period / (d_min / 5)) - 1) AS INT) AS c,
+    cells="""SELECT tr.tic_id, tr.band, tr.k, tr.period, tot, CAST(least(floor((t - t_ref - tr.period * floor((t - t_ref) / tr.period)) / (d_min / 3)), ceil(tr.period / (d_min / 3)) - 1) AS INT) AS c,
       sum(w) AS w, sum(w * (y - mu)) AS wy
       FROM (SELECT trials.*, factor FROM trials JOIN grid USING (tic_id, band)) tr JOIN pts USING (tic_id, factor) JOIN ref USING (tic_id, factor) GROUP BY ALL""",
-    wrapped="""SELECT * FROM cells UNION ALL SELECT tic_id, band, k, period, tot, CAST(c + ceil(period / (d_min / 5)) AS INT), w, wy
-      FROM cells JOIN (SELECT tic_id, band, d_min, max(CAST(round_even(duration / (d_min / 5), 0) AS INT)) AS widest FROM durs JOIN grid USING (tic_id, band) GROUP BY 1, 2, 3) USING (tic_id, band)
+    wrapped="""SELECT * FROM cells UNION ALL SELECT tic_id, band, k, period, tot, CAST(c + ceil(period / (d_min / 3)) AS INT), w, wy
+      FROM cells JOIN (SELECT tic_id, band, d_min, max(CAST(round_even(duration / (d_min / 3), 0) AS INT)) AS widest FROM durs JOIN grid USING (tic_id, band) GROUP BY 1, 2, 3) USING (tic_id, band)
       WHERE c < widest""",
-    spans="SELECT DISTINCT tic_id, band, CAST(round_even(duration / (d_min / 5), 0) AS INT) AS span FROM durs JOIN grid USING (tic_id, band)",
+    starts="SELECT tic_id, band, k, period, tot, unnest(range(n)) AS c FROM (SELECT trials.*, tot, CAST(ceil(period / (trials.d_min / 3)) AS INT) AS n FROM trials JOIN grid USING (tic_id, band) JOIN ref USING (tic_id, factor))",
+    spans="SELECT DISTINCT tic_id, band, CAST(round_even(duration / (d_min / 3), 0) AS INT) AS span FROM durs JOIN grid USING (tic_id, band)",
     boxes="""SELECT s.tic_id, s.band, s.k, s.period, s.tot, spans.span, s.c, sum(q.w) AS w, sum(q.wy) AS wy
-      FROM cells s JOIN spans USING (tic_id, band) JOIN wrapped q ON q.tic_id = s.tic_id AND q.band = s.band AND q.k = s.k AND q.c >= s.c AND q.c < s.c + span GROUP BY ALL"""))
+      FROM starts s JOIN spans USING (tic_id, band) JOIN wrapped q ON q.tic_id = s.tic_id AND q.band = s.band AND q.k = s.k AND q.c >= s.c AND q.c < s.c + span GROUP BY ALL"""))
 def bls_power(spark, d):
     lc = V.lc(spark, d)
     out = H.bls(lc, search_grid(spark, d, COARSE), COARSE)
@@ -183,8 +184,8 @@ def sde_spectrum(spark, d):
 
 
 @query("harmonic_family", with_views("signals", """
-SELECT p.tic_id, p.period, max(p.power) AS power, coalesce(max({'a': s.power, 'b': s.period}).b, p.period) AS best_period,
-  coalesce(max({'a': s.power, 'b': s.period}).a, max(p.power)) AS best_power
+SELECT p.tic_id, p.period, max(p.power) AS power, coalesce((max({'a': s.power, 'b': s.period}) FILTER (s.power IS NOT NULL)).b, p.period) AS best_period,
+  coalesce((max({'a': s.power, 'b': s.period}) FILTER (s.power IS NOT NULL)).a, max(p.power)) AS best_power
 FROM peaks p CROSS JOIN (SELECT unnest([3.0D, 2.0D, 0.5D, 1.0D / 3.0D]) AS ratio) LEFT JOIN spec s
   ON s.tic_id = p.tic_id AND s.period >= p.period / ratio * (1.0D - 0.003D) AND s.period < p.period / ratio * (1.0D + 0.003D) AND s.power > 1.2D * p.power
 GROUP BY p.tic_id, p.period""",
@@ -260,8 +261,8 @@ def single_events(spark, d):
 
 @query("edge_events")
 def edge_events(spark, d):
-    lc = V.lc(spark, d)
-    cfg = SearchConfig(edge_event_sigma=2.5, min_duration=0.15, max_duration=0.3, duration_ratio=2.0, edge_reach=1.0)
+    lc = V.lc(spark, d).where("sector <> 2")
+    cfg = SearchConfig(edge_event_sigma=2.0, min_duration=0.15, max_duration=0.3, duration_ratio=2.0, edge_gap=0.1)
     return H.edge_events(lc, A.curve_stats(lc), cfg)
 
 

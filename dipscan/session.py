@@ -62,3 +62,8 @@ def wide_partitions(spark: SparkSession) -> int:
         int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
         4 * spark.sparkContext.defaultParallelism,
     )
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for a Python stage, widely: its cost is not in the bytes it reads."""
+    return df.repartition(wide_partitions(df.sparkSession), *keys)
