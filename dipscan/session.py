@@ -16,6 +16,8 @@ SQL_SETTINGS = {
     # a hot target must be split even when the join feeds an aggregate on the same key
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # an undefined quotient is NULL here, as everywhere in this package
+    "spark.sql.ansi.enabled": "false",
 }
 
 
