@@ -90,7 +90,11 @@ def _location(
             w = np.where(np.abs(u) <= np.pi, np.sinc(np.minimum(np.abs(u), np.pi) / np.pi), 0.0)
         total = w.sum(axis=1)
         step = (w * filled).sum(axis=1) / np.where(total > 0, total, 1.0)
-        centre = np.where((scale > 0) & (total > 0), step, centre)
+        moved = np.where((scale > 0) & (total > 0), step, centre)
+        settled = np.all(np.abs(moved - centre) <= 1e-9 * safe)
+        centre = moved
+        if settled:
+            break
     return centre
 
 
@@ -126,61 +130,92 @@ def box_power(
     centred = w * (y - (w * y).sum() / total)  # sums to zero, so a box is its own contrast
     step = durations.min() / oversample
     spans = np.maximum(np.rint(durations / step).astype(int), 1)
+    longest = int(spans.max())
     bins = np.ceil(periods / step).astype(int)
     rel = t - t_ref
-    group = max(1, int(4e5 // (max(t.size, bins.max() + spans.max()))))
-    for start in range(0, periods.size, group):
-        p = periods[start : start + group]
-        nb = bins[start : start + group]
-        width = nb.max() + spans.max() + 1
-        cell = np.floor((rel - p[:, None] * np.floor(rel / p[:, None])) / step).astype(int)
-        cell = np.minimum(cell, (nb - 1)[:, None]) + (np.arange(p.size) * width)[:, None]
-        flat = cell.ravel()
-        sums = []
-        for weights in (w, centred):
-            grid = np.bincount(flat, np.tile(weights, p.size), p.size * width)
-            grid = grid.reshape(p.size, width)
-            for r, n in enumerate(nb):  # wrapped copy of the first bins
-                grid[r, n : n + spans.max()] = grid[r, : spans.max()]
-            running = np.zeros((p.size, width + 1))
-            np.cumsum(grid, axis=1, out=running[:, 1:])
-            sums.append(running)
-        best = np.zeros(p.size)
-        best_at = np.zeros((p.size, 2), dtype=int)
-        best_sums = np.zeros((p.size, 2))
-        last = np.arange(nb.max())[None, :] < nb[:, None]
-        rows = np.arange(p.size)
-        for span in spans:
-            bw = sums[0][:, span : span + nb.max()] - sums[0][:, : nb.max()]
-            by = sums[1][:, span : span + nb.max()] - sums[1][:, : nb.max()]
-            rest = total - bw
-            ok = last & (by < 0) & (bw > 1e-9 * total) & (rest > 1e-9 * total)
-            gain = np.where(ok, by * by, 0.0) / np.where(ok, bw * rest, 1.0) * total
-            if not standard:
-                gain = gain * total / np.where(ok, rest, 1.0)
-            at = gain.argmax(axis=1)
-            top = gain[rows, at]
-            better = top > best
-            best[better] = top[better]
-            best_at[better, 0] = at[better]
-            best_at[better, 1] = span
-            best_sums[better, 0] = bw[rows, at][better]
-            best_sums[better, 1] = by[rows, at][better]
-        found = best > 0
-        bw = np.where(found, best_sums[:, 0], 0.5 * total)
-        depth = np.where(found, -best_sums[:, 1] * total / (bw * (total - bw)), 0.0)
+    start = 0
+    while start < periods.size:  # groups small enough for a processor's cache
+        size = max(1, int(CACHE_CELLS // (bins[start] + longest + t.size // 8)))
+        part = slice(start, start + size)
+        p, nb = periods[part], bins[part]
+        sums = _running_sums(rel, (w, centred), p, nb, step, longest)
+        power, first, span, bw, by = _best_boxes(*sums, nb, spans, total, standard)
+        found = power > 0
+        bw = np.where(found, bw, 0.5 * total)
+        depth = np.where(found, -by * total / (bw * (total - bw)), 0.0)
         depth_err = np.sqrt(1.0 / bw + 1.0 / (total - bw))
-        part = slice(start, start + p.size)
-        out["power"][part] = 0.5 * best
-        out["depth"][part] = depth
-        out["depth_err"][part] = depth_err
-        out["depth_snr"][part] = depth / depth_err
-        out["duration"][part] = np.maximum(best_at[:, 1], 1) * step
-        middle = (best_at[:, 0] + 0.5 * np.maximum(best_at[:, 1], 1)) * step
-        out["t0"][part] = t_ref + middle - p * np.floor(middle / p)
+        middle = (first + 0.5 * span) * step
+        values = (
+            0.5 * power, depth, depth_err, span * step,
+            t_ref + middle - p * np.floor(middle / p), depth / depth_err,
+        )
+        for name, value in zip(names, values, strict=True):
+            out[name][part] = value
+        start += size
+    return out
+
+
+CACHE_CELLS = 100_000
+
+
+def _running_sums(
+    rel: np.ndarray, weights: tuple[np.ndarray, ...], p: np.ndarray, nb: np.ndarray, step: float, extra: int
+) -> list[np.ndarray]:
+    """Running totals of each weight over the phase bins of every period, wrapped by ``extra``."""
+    width = int(nb.max()) + extra + 1
+    cell = rel / p[:, None]
+    np.floor(cell, out=cell)
+    cell *= -p[:, None]
+    cell += rel
+    cell /= step
+    flat = cell.astype(np.int64)
+    np.minimum(flat, (nb - 1)[:, None], out=flat)
+    flat += (np.arange(p.size) * width)[:, None]
+    flat = flat.ravel()
+    out = []
+    for each in weights:
+        grid = np.bincount(flat, np.broadcast_to(each, (p.size, each.size)).ravel(), p.size * width)
+        grid = grid.reshape(p.size, width)
+        for r, n in enumerate(nb):
+            grid[r, n : n + extra] = grid[r, :extra]
+        running = np.zeros((p.size, width + 1))
+        np.cumsum(grid, axis=1, out=running[:, 1:])
+        out.append(running)
     return out
 
 
+def _best_boxes(
+    cw: np.ndarray, cy: np.ndarray, nb: np.ndarray, spans: np.ndarray, total: float, standard: bool
+) -> tuple[np.ndarray, ...]:
+    """Per period: twice the log-likelihood of the best box, its first bin, span and sums."""
+    rows, most, least = np.arange(nb.size), int(nb.max()), int(nb.min())
+    beyond = np.arange(least, most)[None, :] >= nb[:, None]
+    best, first, width = np.zeros(nb.size), np.zeros(nb.size, int), np.ones(nb.size, int)
+    dip, inside, gain = (np.empty((nb.size, most)) for _ in range(3))
+    floor = 1e-9 * total * total  # boxes holding next to nothing, or everything, gain nothing
+    for span in spans:
+        np.subtract(cy[:, span : span + most], cy[:, :most], out=dip)
+        np.subtract(cw[:, span : span + most], cw[:, :most], out=inside)
+        np.minimum(dip, 0.0, out=dip)  # brightenings do not count
+        np.multiply(dip, dip, out=dip)
+        np.subtract(total, inside, out=gain)
+        if not standard:
+            np.multiply(gain, gain, out=gain)
+            np.divide(gain, total, out=gain)
+        np.multiply(gain, inside, out=gain)
+        np.maximum(gain, floor, out=gain)
+        np.divide(dip, gain, out=gain)
+        if beyond.size:
+            gain[:, least:][beyond] = 0.0
+        at = gain.argmax(axis=1)
+        top = gain[rows, at] * total
+        better = top > best
+        best[better], first[better], width[better] = top[better], at[better], span
+    bw = cw[rows, first + width] - cw[rows, first]
+    by = cy[rows, first + width] - cy[rows, first]
+    return best, first, width, bw, by
+
+
 def sine_power(t: np.ndarray, y: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Share of the variance a sinusoid with a free mean explains, and its semi-amplitude."""
     power, amplitude = np.zeros(freq.size), np.zeros(freq.size)

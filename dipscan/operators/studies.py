@@ -82,11 +82,21 @@ def uniform(seed: int, *keys: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(2**52)
 
 
-def positive_normal(mean: Column, sd: Column, u: Column) -> Column:
-    """A draw from a normal cut at zero, from one uniform number; the mean itself without sd."""
-    below = F.exp(log_ndtr(-mean / sd))
-    draw = mean + sd * ndtri_exp(F.log(below + u * (1.0 - below)))
-    return F.when(finite(sd) & (sd > 0), F.greatest(draw, F.lit(1e-12))).otherwise(mean)
+def with_positive_normal(
+    df: DataFrame, name: str, mean: str, sd: str, u: Column
+) -> DataFrame:
+    """``df`` with a draw from a normal cut at zero, from one uniform number per row.
+
+    Without a positive ``sd`` the mean itself. Built in steps: the formulas use their argument
+    many times, and a step is evaluated once.
+    """
+    ok = finite(F.col(sd)) & (F.col(sd) > 0)
+    out = df.withColumn("_z", F.when(ok, -F.col(mean) / F.col(sd)))
+    out = out.withColumn("_below", F.exp(log_ndtr(F.col("_z"))))
+    out = out.withColumn("_lp", F.log(F.col("_below") + u * (1.0 - F.col("_below"))))
+    out = out.withColumn("_x", ndtri_exp(F.col("_lp")))
+    draw = F.greatest(F.col(mean) + F.col(sd) * F.col("_x"), F.lit(1e-12))
+    return out.withColumn(name, F.when(ok, draw).otherwise(F.col(mean))).drop("_z", "_below", "_lp", "_x")
 
 
 def derived_samples(samples: DataFrame, stellar: DataFrame, seed: int = 0) -> DataFrame:
@@ -106,8 +116,10 @@ def derived_samples(samples: DataFrame, stellar: DataFrame, seed: int = 0) -> Da
 
     u1, u2 = q_to_u(F.col("q1"), F.col("q2"))
     rho = stellar_density(p, a)
-    r_star = positive_normal(F.col("radius"), F.col("radius_err"), uniform(seed, F.col("cand_id"), F.col("sample")))
-    teff = positive_normal(F.col("teff"), F.col("teff_err"), uniform(seed + 1, F.col("cand_id"), F.col("sample")))
+    own = (F.col("cand_id"), F.col("sample"))
+    rows = with_positive_normal(rows, "_r_star", "radius", "radius_err", uniform(seed, *own))
+    rows = with_positive_normal(rows, "_t_star", "teff", "teff_err", uniform(seed + 1, *own))
+    r_star, teff = F.col("_r_star"), F.col("_t_star")
     has_r, has_t = F.coalesce(F.col("radius") != 0, F.lit(False)), F.coalesce(F.col("teff") != 0, F.lit(False))
     return rows.select(
         "cand_id", "sample", "a_rs", inclination_deg(a, b).alias("inc_deg"), u1.alias("u1"), u2.alias("u2"),
