@@ -211,14 +211,14 @@ def store_missing(
     config = config or CleaningConfig()
     folder = f"{path.rstrip('/')}/config={config_key(spark, config)}"
     todo, mode = raw, "overwrite"
-    if not force and _exists(spark, folder):
+    if not force and path_exists(spark, folder):
         stored = spark.read.parquet(folder).select("tic_id").distinct()
         todo, mode = raw.join(stored, "tic_id", "left_anti"), "append"
     clean(todo, config).write.partitionBy("sector").mode(mode).parquet(folder)
     return spark.read.parquet(folder)
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
+def path_exists(spark: SparkSession, folder: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(folder)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -227,12 +227,12 @@ def _strict(c: Column, kind: T.DataType) -> Column:
 
 
 def read_reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Reports with ``unreadable`` set on rows cut short."""
+    """Reports, one JSON document per line, with ``unreadable`` set on those cut short."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(wide).json(
-        path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt"
-    )
-    return rows.withColumn("unreadable", F.col("_corrupt").isNotNull())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = spark.read.text(path).where("trim(value) <> ''")
+    parsed = rows.select(F.from_json("value", wide, options).alias("r")).select("r.*")
+    return parsed.withColumn("unreadable", F.col("_corrupt").isNotNull()).drop("_corrupt")
 
 
 def star_rows(statuses: DataFrame, reports: DataFrame) -> DataFrame:
@@ -268,11 +268,20 @@ def candidate_entries(reports: DataFrame) -> DataFrame:
     return rows.select("tic_id", (F.col("pos") + 1).alias("n"), "entry.*")
 
 
-RESULTS = T.StructType.fromDDL(
-    "`index` long, period_bin int, radius_bin int, period double, radius_earth double, t0 double, "
-    "b double, rp_rs double, a_rs double, duration double, recovered boolean, `match` string, "
-    "n_transits_in_data int, found_period double, found_sde double, found_snr double, n_detections int"
-)
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "bool": T.BooleanType(), "text": T.StringType()}
+_RESULT_KINDS = {
+    "index": "long", "period_bin": "int", "radius_bin": "int", "recovered": "bool", "match": "text",
+    "n_transits_in_data": "int", "n_detections": "int",
+}
+#: Columns of an injection-recovery table; those without a kind are doubles.
+RESULTS = T.StructType([
+    T.StructField(name, _KINDS.get(_RESULT_KINDS.get(name, ""), T.DoubleType()))
+    for name in (
+        "index", "period_bin", "radius_bin", "period", "radius_earth", "t0", "b", "rp_rs", "a_rs",
+        "duration", "recovered", "match", "n_transits_in_data", "found_period", "found_sde",
+        "found_snr", "n_detections",
+    )
+])
 
 
 def append_results(rows: DataFrame, path: str) -> None:
