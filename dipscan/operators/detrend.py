@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import DetrendConfig
 from ..functions.expr import finite, fold
-from ..session import spread
+from ..session import materialize, spread
 from .kernels import METHODS, TUNING, sliding_location
 from .sequence import _us, lerp, with_segments
 
@@ -111,7 +111,11 @@ def detrend(
             F.col("seg_end") - F.col("t") < config.edge_cutoff
         )
         out = out.withColumn("trend", F.when(~cut, F.col("trend")))
-    out = fill_trend(out, keys)
+    # The trend is written once: filling looks at it twice, and most callers many times.
+    out = materialize(out, "trend")
+    undefined = ~(finite(F.col("trend")) & (F.col("trend") > 0))
+    if out.where(undefined).limit(1).count():
+        out = materialize(fill_trend(out, keys), "filled-trend")
     out = out.where(finite(F.col("trend")) & (F.col("trend") > 0))
     return out.select(
         *df.columns,

@@ -19,7 +19,7 @@ from ..config import CleaningConfig
 from ..functions.expr import finite
 from ..session import materialize, spread
 from .kernels import centered_median
-from .stats import CHUNK_US, medians, robust_std, steps
+from .stats import CHUNK_US, groups_fit, medians, robust_std, steps
 
 BLOCK_ROWS = 2048
 
@@ -114,7 +114,8 @@ def running_median(
     gap = 0.5 * window if max_gap is None else max_gap
     seg = [*keys, "segment"]
     rows = with_segments(df, keys, gap)
-    spacing = medians(steps(rows, seg), seg, F.col("dt_us").cast("double"), "_dt").drop("n")
+    fits = groups_fit(df, keys)
+    spacing = medians(steps(rows, seg), seg, F.col("dt_us").cast("double"), "_dt", fits).drop("n")
     rows = _numbered(rows, seg).join(spacing, seg, "left")
     size = F.greatest(F.lit(3), F.rint(F.lit(window * 86_400_000_000.0) / F.col("_dt")).cast("int"))
     rows = rows.withColumn("_size", F.coalesce(size + 1 - size % 2, F.lit(3)))

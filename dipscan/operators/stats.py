@@ -30,18 +30,19 @@ def quantiles(
     keys: Sequence[str],
     value: Column,
     probs: dict[str, float],
-    bounded: bool = False,
+    bounded: bool | None = None,
     accuracy: int = SKETCH,
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key: one row of ``keys``, ``n``, names.
 
-    NULLs do not count. For open groups the first pass keeps, per key, a mergeable sketch
+    NULLs do not count. ``bounded`` says that every group fits one task; if not given, the
+    largest group is measured. For open groups the first pass keeps, per key, a mergeable sketch
     whose rank error is below n/accuracy; the second pass counts what lies below a bracket
     four errors wide on either side and sorts only what lies inside it (8/accuracy of the
     rows). Groups smaller than ``accuracy`` take their minimum and maximum as the bracket.
     """
     rows = df.select(*_cols(keys), value.alias("_v")).where(F.col("_v").isNotNull())
-    if bounded:
+    if groups_fit(df, keys) if bounded is None else bounded:
         aggs = [F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
         return rows.groupBy(*keys).agg(F.count("_v").alias("n"), *aggs)
 
@@ -90,7 +91,7 @@ def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
 
 
 def medians(
-    df: DataFrame, keys: Sequence[str], value: Column, name: str, bounded: bool = False
+    df: DataFrame, keys: Sequence[str], value: Column, name: str, bounded: bool | None = None
 ) -> DataFrame:
     return quantiles(df, keys, value, {name: 0.5}, bounded)
 
@@ -100,10 +101,11 @@ def robust_std(
     keys: Sequence[str],
     value: Column,
     name: str = "sigma",
-    bounded: bool = False,
+    bounded: bool | None = None,
     median_name: str = "med",
 ) -> DataFrame:
     """``keys``, ``n``, median, and 1.4826 times the median absolute deviation."""
+    bounded = groups_fit(df, keys) if bounded is None else bounded
     rows = df.select(*_cols(keys), F.when(finite(value), value).alias("_x"))
     centre = medians(rows, keys, F.col("_x"), median_name, bounded)
     with_centre = (
@@ -217,18 +219,20 @@ def extent(df: DataFrame, keys: Sequence[str] = ("tic_id",)) -> DataFrame:
 
 
 def cadence(
-    df: DataFrame, keys: Sequence[str] = ("tic_id",), bounded: bool = False
+    df: DataFrame, keys: Sequence[str] = ("tic_id",), bounded: bool | None = None
 ) -> DataFrame:
     """Median sampling interval per key, in days (``cadence``)."""
+    bounded = groups_fit(df, keys) if bounded is None else bounded
     gaps = steps(df, keys)
     out = medians(gaps, keys, F.col("dt_us").cast("double"), "_dt", bounded)
     return out.select(*keys, (F.col("_dt") / 86_400_000_000.0).alias("cadence"))
 
 
 def curve_stats(
-    df: DataFrame, keys: Sequence[str] = ("tic_id",), bounded: bool = False
+    df: DataFrame, keys: Sequence[str] = ("tic_id",), bounded: bool | None = None
 ) -> DataFrame:
     """Extent, cadence and median time per key: what the search needs of every curve."""
+    bounded = groups_fit(df, keys) if bounded is None else bounded
     mid = medians(df, keys, F.col("t"), "t_median", bounded).drop("n")
     spacing = cadence(df, keys, bounded)
     return extent(df, keys).join(spacing, list(keys), "left").join(mid, list(keys), "left")
@@ -242,7 +246,7 @@ def binned_rms(
     min_fraction: float = 0.5,
     name: str = "rms",
     spacing: DataFrame | None = None,
-    bounded: bool = False,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Robust scatter of bin means, for bins with at least half the expected samples.
 

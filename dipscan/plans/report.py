@@ -95,7 +95,7 @@ def run_curves(
     Returns one nested report row per target, and the search's own tables.
     """
     search, config = search or SearchConfig(), config or VetConfig()
-    first = materialize(flat_curve(detrend(raw, detrending)), "first-flat")
+    first = flat_curve(detrend(raw, detrending))
     found = iterative_search(first, search, raw, detrending, densities)
     detections = found.signals.where("detected").withColumn(
         "cand_id", F.col("tic_id") * 16 + F.col("iteration")

@@ -137,7 +137,7 @@ def recovery_run(spark, d):
     injections = SR.materialize(injections, "injections")
     curves = SR.materialize(Y.inject(lc, injections), "injected")
     cfg = DetrendConfig(window_length=2.0)
-    flat = SR.materialize(flat_curve(detrend(curves, cfg)), "injected-flat")
+    flat = flat_curve(detrend(curves, cfg))
     found = SR.iterative_search(flat, RUN, raw=curves, detrend_config=cfg)
     return Y.recovery_rows(injections, found.signals, flat)
 
