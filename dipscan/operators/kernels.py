@@ -56,7 +56,7 @@ def _location(
     if method == "mean":
         return filled.sum(axis=1) / np.maximum(n, 1)
     ordered = np.sort(np.where(inside, v, np.inf), axis=1)
-    med = _middle(ordered, n)
+    med = np.where(n > 0, _middle(ordered, n), 0.0)
     if method == "median":
         return med
     rows, place = np.arange(n.size), np.arange(v.shape[1])

@@ -459,8 +459,12 @@ for _method, _sql in ESTIMATOR_SQL.items():
 
 
 @query("detrend_masked", with_views("lc planted", """
-SELECT l.tic_id, l.event_id, round(trend, 9) AS trend, round(flux / trend, 9) AS flat, round(flux_err / trend, 9) AS flat_err
-FROM lc l JOIN (SELECT tic_id, event_id, c AS trend FROM c3) USING (tic_id, event_id)""",
+SELECT tic_id, event_id, round(trend, 9) AS trend, round(flux / trend, 9) AS flat, round(flux_err / trend, 9) AS flat_err
+FROM (SELECT tic_id, event_id, flux, flux_err, CASE WHEN c IS NOT NULL THEN c WHEN a.t_us IS NULL THEN b.v WHEN b.t_us IS NULL THEN a.v
+  ELSE a.v + (b.v - a.v) * ((t_us - a.t_us)::DOUBLE / (b.t_us - a.t_us)) END AS trend FROM (SELECT l.*, c,
+    last_value(CASE WHEN c IS NOT NULL THEN {'t_us': t_us, 'v': c} END IGNORE NULLS) OVER (PARTITION BY l.tic_id ORDER BY t_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+    first_value(CASE WHEN c IS NOT NULL THEN {'t_us': t_us, 'v': c} END IGNORE NULLS) OVER (PARTITION BY l.tic_id ORDER BY t_us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
+    FROM lc l LEFT JOIN c3 ON c3.tic_id = l.tic_id AND c3.event_id = l.event_id))""",
     win=f"""SELECT p.tic_id, p.event_id, q.flux AS v FROM lc p JOIN (SELECT lc.* FROM lc JOIN planted USING (tic_id)
       WHERE NOT abs({FOLD}) < 0.75D * duration) q
       ON q.tic_id = p.tic_id AND q.t_us BETWEEN p.t_us - 32400000000 AND p.t_us + 32400000000""",

