@@ -17,8 +17,14 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.mixing import plan
+
+    return plan(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_minhash": op10_minhash}
+    return {"op3_entropy_mix": op3_entropy_mix, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
