@@ -11,6 +11,12 @@ from dipscan.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.quality import scored
+
+    return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from dipscan.llm.minhash import near_duplicates
 
@@ -24,7 +30,7 @@ def op3_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_entropy_mix": op3_entropy_mix, "op10_minhash": op10_minhash}
+    return {"op3_entropy_mix": op3_entropy_mix, "op6_byte_cnn": op6_byte_cnn, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
