@@ -23,6 +23,12 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op1_templates(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.decontaminate import report
+
+    return report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_line_alignment(spark: SparkSession, folder: str) -> DataFrame:
     from dipscan.llm.line_dedup import report
 
@@ -36,7 +42,7 @@ def op3_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op6_byte_cnn": op6_byte_cnn, "op10_minhash": op10_minhash}
+    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op6_byte_cnn": op6_byte_cnn, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
