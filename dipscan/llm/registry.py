@@ -41,8 +41,14 @@ def op3_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
     return plan(table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op6_byte_cnn": op6_byte_cnn, "op10_minhash": op10_minhash}
+    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op6_byte_cnn": op6_byte_cnn, "op10_minhash": op10_minhash, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
