@@ -11,6 +11,12 @@ from dipscan.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_ftrl(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.toxicity import scored
+
+    return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     from dipscan.llm.quality import scored
 
@@ -48,7 +54,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op6_byte_cnn": op6_byte_cnn, "op10_minhash": op10_minhash, "pipeline": pipeline}
+    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op10_minhash": op10_minhash, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
