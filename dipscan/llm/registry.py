@@ -23,6 +23,12 @@ def op6_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.lm import scored
+
+    return scored(table(spark, folder, "documents"))
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from dipscan.llm.minhash import near_duplicates
 
@@ -54,7 +60,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op10_minhash": op10_minhash, "pipeline": pipeline}
+    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op7_log_bilinear": op7_log_bilinear, "op10_minhash": op10_minhash, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
