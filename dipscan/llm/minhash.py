@@ -36,9 +36,10 @@ class Bands:
     rows: int = 5
     words: int = 5
     similar_percent: int = 75
-    sketch_words: int = 8  # 64-bit words of the parity bitmap
-    #: Estimates below this don't reach the exact check: over four standard errors below 0.75.
-    least_estimate: float = 0.57
+    samples: int = 1024  # folded into the parity bitmap
+    sketch_words: int = 32  # 64-bit words of the bitmap
+    #: Estimates below this don't reach the exact check: nearly four standard errors below 0.75.
+    least_estimate: float = 0.68
 
 
 def _documents(batch: pa.RecordBatch, k: int):
@@ -51,17 +52,27 @@ def _documents(batch: pa.RecordBatch, k: int):
         yield i, j, *X.distinct(values, soffs)
 
 
+def _samples(values: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """(sample, document) minima of ``n`` hash functions; ``at`` starts each document's values."""
+    mult = (X.stream(seed, n) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    add = (X.stream(seed + 1, n) >> np.uint64(32)).astype(np.uint32)
+    low = (values ^ (values >> np.uint64(32))).astype(np.uint32)
+    out = np.empty((n, len(at)), np.uint32)
+    if len(at):
+        for s in range(n):
+            out[s] = np.minimum.reduceat(low * mult[s] + add[s], at)
+    return out
+
+
 def _signatures(cfg: Bands):
     n_samples = cfg.bands * cfg.rows
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-        ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+        ("bands", pa.list_(pa.int64())),
     ])
 
     def run(batches):
-        mult = (X.stream(11, n_samples) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        add = (X.stream(12, n_samples) >> np.uint64(32)).astype(np.uint32)
-        salt = X.stream(13, n_samples)
+        salt = X.stream(13, cfg.bands + 1)
         weight = X.stream(14, cfg.rows) | np.uint64(1)
         for batch in batches:
             ids = batch.column(0)
@@ -69,54 +80,53 @@ def _signatures(cfg: Bands):
                 n = np.diff(offs)
                 sums = np.zeros((2, len(values) + 1), np.uint64)
                 np.cumsum(X.mix(values), out=sums[0, 1:])
-                np.cumsum(X.mix(values ^ salt[0]), out=sums[1, 1:])
+                np.cumsum(X.mix(values ^ salt[cfg.bands]), out=sums[1, 1:])
                 h = sums[:, offs[1:]] - sums[:, offs[:-1]]
                 rows = np.flatnonzero(n)
-                at = offs[:-1][rows]
-                low = (values ^ (values >> np.uint64(32))).astype(np.uint32)
-                samples = np.empty((n_samples, len(rows)), np.uint32)
-                if len(rows):
-                    for s in range(n_samples):
-                        samples[s] = np.minimum.reduceat(low * mult[s] + add[s], at)
-                keys = np.zeros((len(n), cfg.bands), np.uint64)
-                sketch = np.zeros((len(n), cfg.sketch_words), np.uint64)
+                samples = _samples(values, offs[:-1][rows], n_samples, 11)
+                keys = np.empty((len(rows), cfg.bands), np.uint64)
                 for b in range(cfg.bands):
                     acc = np.full(len(rows), salt[b], np.uint64)
                     for r in range(cfg.rows):
                         acc += samples[b * cfg.rows + r] * weight[r]
-                    keys[rows, b] = X.mix(acc)
-                for s in range(n_samples):
-                    bit = X.mix(samples[s].astype(np.uint64) + salt[s]) % np.uint64(64 * cfg.sketch_words)
-                    sketch[rows, bit >> np.uint64(6)] ^= np.uint64(1) << (bit & np.uint64(63))
-                full = np.where(n > 0, 1, 0)
+                    keys[:, b] = X.mix(acc)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(i, j - i), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
-                    X.lists(keys[rows].reshape(-1).view(np.int64), np.r_[0, np.cumsum(full * cfg.bands)]),
-                    X.lists(sketch[rows].reshape(-1).view(np.int64), np.r_[0, np.cumsum(full * cfg.sketch_words)]),
+                    X.lists(keys.reshape(-1).view(np.int64), np.r_[0, np.cumsum((n > 0) * cfg.bands)]),
                 ], schema=schema)
 
     return run
 
 
-_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
+_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
 def _sets(cfg: Bands):
-    schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
+    """A document's full set and the odd sketch of its MinHash samples."""
+    schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
+        salt = X.stream(17, cfg.samples)
         for batch in batches:
             for i, j, values, offs in _documents(batch, cfg.words):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), X.lists(values.view(np.int64), offs)], schema=schema
-                )
+                rows = np.flatnonzero(np.diff(offs))
+                samples = _samples(values, offs[:-1][rows], cfg.samples, 15)
+                sketch = np.zeros((len(rows), cfg.sketch_words), np.uint64)
+                for s in range(cfg.samples):
+                    bit = X.mix(samples[s].astype(np.uint64) + salt[s]) % np.uint64(64 * cfg.sketch_words)
+                    sketch[np.arange(len(rows)), bit >> np.uint64(6)] ^= np.uint64(1) << (bit & np.uint64(63))
+                full = (np.diff(offs) > 0) * cfg.sketch_words
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(i, j - i), X.lists(values.view(np.int64), offs),
+                    X.lists(sketch.reshape(-1).view(np.int64), np.r_[0, np.cumsum(full)]),
+                ], schema=schema)
 
     return run
 
 
 def _alike(cfg: Bands, a: str, b: str):
     """Whether the odd sketches leave a pair possible: J ~ 1 + n/(4k) ln(1 - 2 popcount/n)."""
-    n, k = 64 * cfg.sketch_words, cfg.bands * cfg.rows
+    n, k = 64 * cfg.sketch_words, cfg.samples
     most = n / 2 * (1 - np.exp((cfg.least_estimate - 1) * 4 * k / n))
     differing = sum(
         F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))) for i in range(cfg.sketch_words)
@@ -145,21 +155,21 @@ def near_duplicates(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
     classes = sig.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node"))
     members = sig.where("n_shingles > 0").join(classes, same)
     reps = materialize(
-        members.where("doc_id = node").dropDuplicates(same).select("node", "bands", "sketch"), "classes"
+        members.where("doc_id = node").dropDuplicates(same).select("node", "bands"), "classes"
     )
-    spread = reps.select("node", F.explode("bands").alias("bucket"))
+    spread = reps.select("node", F.posexplode("bands")).select("node", F.col("pos").alias("band"), F.col("col").alias("bucket"))
     hubs = (
         spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
         .where("hub < top").select("bucket", "hub")
     )
-    rows = materialize(spread.join(hubs, "bucket"), "buckets")  # (bucket, node, hub)
+    rows = materialize(spread.join(hubs, "bucket"), "buckets")  # (bucket, node, band, hub)
     nodes = rows.select("node").distinct()
     sets = materialize(
         two.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        .select("doc_id", "text").mapInArrow(_sets(cfg), "node long, members array<long>"),
+        .select("doc_id", "text").mapInArrow(_sets(cfg), "node long, members array<long>, sketch array<long>"),
         "sets",
     )
-    sketches = reps.select("node", "sketch").join(nodes, "node", "left_semi")
+    sketches = sets.select("node", "sketch")
     first = rows.groupBy("node").agg(F.min("hub").alias("v")).where("v < node").withColumnRenamed("node", "u")
     first = (
         first.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("ku")), "u")
@@ -168,10 +178,10 @@ def near_duplicates(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
     )
     links = materialize(_confirmed(first, sets, cfg), "links")
     labels = components(links)
-    unmet = rows.select("bucket", "node").join(sketches, "node")
+    unmet = rows.select("bucket", "band", "node").join(sketches, "node").join(reps, "node")
     while True:
         named = unmet.join(labels, "node", "left").select(
-            "bucket", "node", "sketch", F.coalesce("component_id", "node").alias("c")
+            "bucket", "band", "node", "sketch", "bands", F.coalesce("component_id", "node").alias("c")
         )
         split = (
             named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"))
@@ -180,16 +190,20 @@ def near_duplicates(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
         named = materialize(named.join(split, "bucket", "left_semi"), "unmet")
         if named.isEmpty():
             break
-        lead = named.groupBy("bucket", "c").agg(F.min_by(F.struct("node", "sketch"), "node").alias("x"))
-        lead = lead.select("bucket", F.col("c").alias("hc"), F.col("x.node").alias("v"), F.col("x.sketch").alias("kv"))
+        first_of = named.groupBy("bucket", "c").agg(F.min("node").alias("v"))
+        named = named.join(first_of.withColumnRenamed("v", "own"), ["bucket", "c"])
+        lead = named.where("node = own").select(
+            "bucket", F.col("c").alias("hc"), F.col("node").alias("v"), F.col("sketch").alias("kv"), F.col("bands").alias("bv")
+        )
+        # two leads meet once; a pair that shares buckets meets in the first of them
+        new = (F.col("c") != F.col("hc")) & ((F.col("node") != F.col("own")) | (F.col("node") > F.col("v")))
+        earliest = F.array_position(F.zip_with("bands", "bv", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
         pairs = (
-            named.join(lead, "bucket").where((F.col("c") != F.col("hc")) & _alike(cfg, "sketch", "kv"))
-            .select(F.col("node").alias("u"), "v").distinct()
+            named.join(lead, "bucket").where(new & _alike(cfg, "sketch", "kv") & earliest)
+            .select(F.col("node").alias("u"), "v")
         )
         found = materialize(_confirmed(pairs, sets, cfg), "links")
-        unmet = named.join(
-            lead.select("bucket", F.col("v").alias("node")), ["bucket", "node"], "left_anti"
-        ).select("bucket", "node", "sketch")
+        unmet = named.where("node <> own").select("bucket", "band", "node", "sketch", "bands")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
