@@ -42,9 +42,11 @@ class Templates:
 def canonical(text: Column) -> Column:
     """``text`` with each name, number and unit replaced by its placeholder, token for token."""
     named = F.regexp_replace(text, r"(?<=[a-z,;]\s)[A-Z][a-z]+(?=[\s,.;:!?')]|$)", "<name>")
-    counted = F.regexp_replace(named, r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*", "<num>")
+    counted = F.regexp_replace(
+        named, r"(^|[\x20\x09-\x0D])[-+#$~('\"\[]*+[0-9][^\x20\x09-\x0D]*", "$1<num>"
+    )
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    united = F.regexp_replace(counted, rf"(?<=<num>\s)(?:{units})(?=[\s.,;:!?)]|$)", "<unit>")
+    united = F.regexp_replace(counted, rf"(<num>\s)(?:{units})(?=[\s.,;:!?)]|$)", "$1<unit>")
     return F.regexp_replace(F.lower(united), r"(?<=[\w>])[.,;:!?'\")\]]++(?=\s|$)", "")
 
 
