@@ -29,6 +29,12 @@ def op7_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"))
 
 
+def op8_itq(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.itq import linked
+
+    return linked(table(spark, folder, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from dipscan.llm.minhash import near_duplicates
 
@@ -60,7 +66,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op7_log_bilinear": op7_log_bilinear, "op10_minhash": op10_minhash, "pipeline": pipeline}
+    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op7_log_bilinear": op7_log_bilinear, "op8_itq": op8_itq, "op10_minhash": op10_minhash, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
