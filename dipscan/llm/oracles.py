@@ -22,3 +22,21 @@ p AS (
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN c ON s.doc_id = c.u
 """
+
+
+def licenses(notices) -> str:
+    """Containment of every notice in the whole of every text."""
+    rows = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(notices))
+    words = rf"regexp_extract_all(coalesce({_FOLD}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    shingles = "list_distinct(list_transform(range(1, greatest(len(a) - 3, 1)), lambda i: array_to_string(a[i:i+4], ' ')))"
+    return f"""
+WITH n AS (SELECT i, license, {words} AS a FROM (VALUES {rows}) AS v(i, license, text)),
+t AS (SELECT i, license, unnest({shingles}) AS x FROM n),
+size AS (SELECT i, count(*) AS k FROM t GROUP BY i),
+d AS (SELECT doc_id, {words} AS a FROM documents),
+e AS (SELECT doc_id, unnest({shingles}) AS x FROM d WHERE len(a) >= 5)
+SELECT doc_id, license, max(c) AS containment FROM (
+  SELECT doc_id, t.i, license, count(*) / min(k) AS c FROM e JOIN t USING (x) JOIN size ON size.i = t.i
+  GROUP BY doc_id, t.i, license) AS g
+WHERE c >= 0.75 GROUP BY doc_id, license
+"""

@@ -35,6 +35,12 @@ def op8_itq(spark: SparkSession, folder: str) -> DataFrame:
     return linked(table(spark, folder, "embeddings"))
 
 
+def op9_license_bands(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.licenses import licenses
+
+    return licenses(table(spark, folder, "documents")).select("doc_id", "license", "containment")
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from dipscan.llm.minhash import near_duplicates
 
@@ -66,10 +72,15 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix, "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op7_log_bilinear": op7_log_bilinear, "op8_itq": op8_itq, "op10_minhash": op10_minhash, "pipeline": pipeline}
+    return {
+        "op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix,
+        "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op7_log_bilinear": op7_log_bilinear, "op8_itq": op8_itq,
+        "op9_license_bands": op9_license_bands, "op10_minhash": op10_minhash, "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     from dipscan.llm import oracles
+    from dipscan.llm.licenses import NOTICES
 
-    return {"op10_minhash": oracles.MINHASH}
+    return {"op9_license_bands": oracles.licenses(NOTICES), "op10_minhash": oracles.MINHASH}

@@ -70,11 +70,13 @@ def blocks(offs: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and each document's offsets into them."""
+def words(
+    buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and each document's offsets into them; ``gaps`` flags bytes between words."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    gap = _SPACE[buf]
+    gap = gaps[buf]
     before, after = np.empty(len(buf), bool), np.empty(len(buf), bool)
     before[0] = after[-1] = True
     before[1:], after[:-1] = gap[:-1], gap[1:]
