@@ -11,6 +11,12 @@ from dipscan.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_run_index(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.rindex import deduplicated
+
+    return deduplicated(table(spark, folder, "documents"), keep=False)
+
+
 def op5_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     from dipscan.llm.toxicity import scored
 
@@ -74,7 +80,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix,
-        "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op7_log_bilinear": op7_log_bilinear, "op8_itq": op8_itq,
+        "op4_run_index": op4_run_index, "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op7_log_bilinear": op7_log_bilinear, "op8_itq": op8_itq,
         "op9_license_bands": op9_license_bands, "op10_minhash": op10_minhash, "pipeline": pipeline,
     }
 
