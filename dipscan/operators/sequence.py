@@ -8,6 +8,7 @@ the chunks' own summaries.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -205,13 +206,14 @@ def find_outliers(
 
     Every pass fits the rows kept so far, interpolates the trend to all rows and clips on
     their robust scatter. A curve whose flags no longer change keeps them (the pass repeats
-    itself); the loop ends when no curve changes, or after ``max_iterations`` passes.
+    itself); the loop ends when no curve changes, or after ``max_iterations`` passes if given.
     """
     config = config or CleaningConfig()
     keys = list(keys)
     rows = df.withColumn("outlier", F.lit(False))
     size = df.groupBy(*keys).agg((F.count(F.lit(1)) >= 5).alias("_enough"))
-    for i in range(passes or config.max_iterations):
+    limit = passes or config.max_iterations
+    for i in count() if limit is None else range(limit):
         kept = running_median(rows.where("NOT outlier"), keys, config.clip_window, value)
         left = rows.where("outlier").withColumn("trend", F.lit(None).cast("double"))
         fitted = lerp(kept.unionByName(left), keys, "trend")

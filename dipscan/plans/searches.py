@@ -202,7 +202,7 @@ def peak_examination(spark, d):
     """Every star's candidates taken as its spectrum, in the order they deserve a look."""
     rows = V.signals(spark, d).select("tic_id", "period", "t0", "duration", "depth", F.col("snr").alias("power"), "sde",
                                       (F.col("n_transits") >= 2).alias("eligible"))
-    return H.examine_peaks(rows, SearchConfig()).select("tic_id", "rank", "top_period", "period")
+    return H.examine_peaks(rows).select("tic_id", "rank", "top_period", "period")
 
 
 # ---- single dips
@@ -293,13 +293,15 @@ def greedy_suppression(spark, d):
 
 
 @query("event_dedup", with_views("known", """
-SELECT tic_id, max(t0) AS time, count(*) AS n FROM known GROUP BY tic_id, round_even(t0, 4)"""))
+SELECT tic_id, max(n) AS n, arg_max(t0, e) AS time, arg_max(period, e) AS duration FROM (
+  SELECT tic_id, t0, period, round_even(t0, 4) AS k, (ord % 3, t0, period) AS e,
+    count(*) OVER (PARTITION BY tic_id, round_even(t0, 4)) AS n FROM known) GROUP BY tic_id, k"""))
 def event_dedup(spark, d):
-    rows = V.known(spark, d).select("tic_id", F.col("t0").alias("time"), F.lit(0.1).alias("duration"),
-                                    F.lit(0.0).alias("depth"), F.lit(0.0).alias("snr"))
+    rows = V.known(spark, d).select("tic_id", F.col("t0").alias("time"), F.col("period").alias("duration"),
+                                    F.lit(0.0).alias("depth"), F.lit(0.0).alias("snr"), (F.col("ord") % 3).alias("pass"))
     counts = rows.groupBy("tic_id", F.bround("time", 4).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
     out = SR.distinct_events(rows).withColumn("_k", F.bround("time", 4))
-    return out.join(counts, ["tic_id", "_k"]).select("tic_id", "time", "n")
+    return out.join(counts, ["tic_id", "_k"]).select("tic_id", "time", "duration", "n")
 
 
 # ---- statistics of signals

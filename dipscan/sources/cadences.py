@@ -206,14 +206,14 @@ def config_key(spark: SparkSession, config: CleaningConfig) -> str:
 def store_missing(
     raw: DataFrame, path: str, config: CleaningConfig | None = None, force: bool = False
 ) -> DataFrame:
-    """Cleaned curves from the store; targets not there yet (or all, forced) are cleaned first."""
+    """Cleaned curves from the store; sectors of targets not there yet (or all, forced) are cleaned first."""
     spark = raw.sparkSession
     config = config or CleaningConfig()
     folder = f"{path.rstrip('/')}/config={config_key(spark, config)}"
     todo, mode = raw, "overwrite"
     if not force and path_exists(spark, folder):
-        stored = spark.read.parquet(folder).select("tic_id").distinct()
-        todo, mode = raw.join(stored, "tic_id", "left_anti"), "append"
+        stored = spark.read.parquet(folder).select("tic_id", "sector").distinct()
+        todo, mode = raw.join(stored, ["tic_id", "sector"], "left_anti"), "append"
     clean(todo, config).write.partitionBy("sector").mode(mode).parquet(folder)
     return spark.read.parquet(folder)
 

@@ -27,10 +27,9 @@ def store_new(batch: DataFrame, path: str) -> None:
     spark = batch.sparkSession
     new = batch.dropDuplicates(KEYS)
     if path_exists(spark, path):
-        sectors = [r[0] for r in batch.select("sector").distinct().limit(1000).collect()]
-        stored = spark.read.parquet(path)
-        if len(sectors) < 1000:
-            stored = stored.where(F.col("sector").isin(sectors))
+        # the batch's sectors prune the stored partitions at run time
+        sectors = batch.select("sector").distinct()
+        stored = spark.read.parquet(path).join(sectors, "sector", "left_semi")
         new = new.join(stored.select(*KEYS), KEYS, "left_anti")
     new.write.mode("append").partitionBy("sector").parquet(path)
 

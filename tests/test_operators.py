@@ -223,7 +223,8 @@ def test_screening_tiers(spark):
     known = spark.createDataFrame([(1, "TOI", 4, 7.01, 3.0, "PC")], "ord int, kind string, tic_id long, period double, t0 double, disposition string")
     out = {x.cand_id: x for x in C.screen(entries, C.match_known(entries, known), ScreenConfig()).collect()}
     assert {k: v.tier for k, v in out.items()} == {1: "prospect", 2: "review", 3: "rejected", 4: "known", 5: "review"}
-    assert out[2].reasons == ["S/N 8.0 is below the margin of 10"] and out[3].reasons == ["failed: shape"]
+    assert [(r.code, r.value) for r in out[2].reasons] == [("low_snr", 8.0)]
+    assert [(r.code, r.detail) for r in out[3].reasons] == [("failed_vetting", "shape")]
     ranked = C.rank_candidates(spark.createDataFrame([(k, v.tier, v.snr) for k, v in out.items()], "cand_id long, tier string, snr double"))
     assert [x.cand_id for x in ranked.orderBy("rank").collect()] == [1, 5, 2, 4, 3]
 
