@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``_doc``, so that no name of theirs meets one of an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("_doc.*")
+
+
 def fold(text):
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

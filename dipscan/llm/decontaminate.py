@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dipscan.llm.common import boxed, unboxed
 from dipscan.session import materialize
 
 #: Units by name or symbol, as they stand after a number.
@@ -137,8 +138,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, cfg: Templates = Templates()) -
     """The rows of ``docs`` that hold no benchmark item."""
     hit = matches(docs, benchmark, cfg).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct()
     hit = materialize(hit, "contaminated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_v"))
-    return docs.join(hit, same, "left_anti")
+    same = F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("_doc.text") == F.col("_v"))
+    return unboxed(boxed(docs).join(hit, same, "left_anti"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, cfg: Templates = Templates()) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipscan.llm import text as X
+from dipscan.llm.common import boxed
 from dipscan.session import materialize
 
 
@@ -177,15 +178,16 @@ def common_blocks(docs: DataFrame, cfg: Lines = Lines()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, cfg: Lines = Lines()) -> DataFrame:
-    """``docs`` with a struct ``_lines``: n_lines, n_removed, text (what is left)."""
+    """``_doc`` (a row of ``docs``) and ``_lines`` (n_lines, n_removed, text: what is left)."""
     gone = common_blocks(docs, cfg).select(
         F.col("doc_id").alias("_gid"), F.col("version").alias("_gv"), "gone_from", "gone_to"
     )
     gone = gone.select("_gid", "_gv", F.struct("gone_from", "gone_to").alias("_gone"))
-    rows = docs.join(
-        gone, (F.col("doc_id").cast("long") == F.col("_gid")) & (F.xxhash64("text") == F.col("_gv")), "left"
+    text = F.col("_doc.text")
+    rows = boxed(docs).join(
+        gone, (F.col("_doc.doc_id").cast("long") == F.col("_gid")) & (F.xxhash64(text) == F.col("_gv")), "left"
     )
-    lines = F.split("text", "\n", -1)
+    lines = F.split(text, "\n", -1)
     keep_from = F.concat(F.array(F.lit(0)), F.col("_gone.gone_to"))
     keep_to = F.concat(F.col("_gone.gone_from"), F.array(F.size(lines)))
     kept = F.flatten(F.transform(
@@ -197,11 +199,11 @@ def deduplicated(docs: DataFrame, cfg: Lines = Lines()) -> DataFrame:
     )
     hit = F.col("_gone").isNotNull()
     return rows.select(
-        *[docs[c] for c in docs.columns],
+        "_doc",
         F.struct(
-            F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).alias("n_lines"),
+            F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).alias("n_lines"),
             F.when(hit, removed).otherwise(0).alias("n_removed"),
-            F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text"),
+            F.when(hit, F.array_join(kept, "\n")).otherwise(text).alias("text"),
         ).alias("_lines"),
     )
 
@@ -216,14 +218,14 @@ def remaining(docs: DataFrame, cfg: Lines = Lines()) -> DataFrame:
             out.append(F.col("_lines.text").alias("text"))
         elif name == "n_chars":
             same = F.col("_lines.n_removed") == 0
-            out.append(F.when(same, F.col(name)).otherwise(F.length("_lines.text")).alias(name))
+            out.append(F.when(same, F.col("_doc.n_chars")).otherwise(F.length("_lines.text")).alias(name))
         else:
-            out.append(F.col(name))
+            out.append(F.col(f"_doc.`{name}`"))
     return rows.select(*out)
 
 
 def report(docs: DataFrame, cfg: Lines = Lines()) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of every row."""
     return deduplicated(docs.select("doc_id", "text"), cfg).select(
-        "doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.text"
+        "_doc.doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.text"
     )

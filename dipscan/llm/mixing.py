@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dipscan.llm.common import WORD
+from dipscan.llm.common import WORD, boxed
 from dipscan.operators.catalog import global_rank
 from dipscan.session import materialize
 
@@ -124,12 +124,13 @@ def balanced(hist: DataFrame, sources: DataFrame, cfg: Mix = Mix()) -> DataFrame
 
 
 def with_copies(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
-    """``docs`` with a struct column ``_mix``: size, source_size, target, rate, copies."""
-    sized = docs.withColumn(
+    """``_doc`` (a row of ``docs``) and ``_mix`` (size, source_size, target, rate, copies)."""
+    text = F.col("_doc.text")
+    sized = boxed(docs).withColumn(
         "_mix", F.struct(
-            F.col("source").cast("string").alias("_key"),
-            F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long").alias("size"),
-            F.pmod(F.xxhash64("doc_id", "source"), F.lit(cfg.salts)).cast("int").alias("_salt"),
+            F.col("_doc.source").cast("string").alias("_key"),
+            F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long").alias("size"),
+            F.pmod(F.xxhash64("_doc.doc_id", "_doc.source"), F.lit(cfg.salts)).cast("int").alias("_salt"),
         )
     )
     parts = materialize(
@@ -175,7 +176,9 @@ def with_copies(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
         cells,
         m["_key"].eqNullSafe(F.col("_ck")) & (m["size"] == F.col("_cs")) & (m["_salt"] == F.col("_cz")),
     )
-    order = Window.partitionBy("_ck", "_cs", "_cz").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    order = Window.partitionBy("_ck", "_cs", "_cz").orderBy(
+        F.xxhash64("_doc.doc_id", F.lit(1)), "_doc.doc_id"
+    )
     place = F.col("_ahead") + F.row_number().over(order)
     rows = rows.withColumn("_place", place)
     taken = F.floor(F.col("_start") + F.col("_rate") * F.col("_place")) - F.floor(
@@ -188,14 +191,14 @@ def with_copies(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
             m["size"].alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"),
             F.col("_rate").alias("rate"), copies.cast("int").alias("copies"),
         )
-    ).select(*docs.columns, "_mix")
+    ).select("_doc", "_mix")
 
 
 def mixture(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the number of the copy."""
     rows = with_copies(docs, cfg).where("_mix.copies > 0")
     number = "copy" if "copy" not in docs.columns else "_copy"
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix.copies"))).alias(number))
+    return rows.select("_doc.*", F.explode(F.sequence(F.lit(1), F.col("_mix.copies"))).alias(number))
 
 
 def plan(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
@@ -203,6 +206,6 @@ def plan(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
     narrow = docs.select("doc_id", "source", "text")
     rows = with_copies(narrow, cfg)
     return rows.select(
-        "doc_id", "source", "_mix.size", "_mix.source_size", "_mix.target", "_mix.rate", "_mix.copies",
+        "_doc.doc_id", "_doc.source", "_mix.size", "_mix.source_size", "_mix.target", "_mix.rate", "_mix.copies",
         (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"),
     )
