@@ -36,51 +36,52 @@ def quantiles(
     """Exact interpolated quantiles of ``value`` per key: one row of ``keys``, ``n``, names.
 
     NULLs do not count. ``bounded`` says that every group fits one task; if not given, the
-    largest group is measured. For open groups the first pass keeps, per key, a mergeable sketch
-    whose rank error is below n/accuracy; the second pass counts what lies below a bracket
-    four errors wide on either side and sorts only what lies inside it (8/accuracy of the
-    rows). Groups smaller than ``accuracy`` take their minimum and maximum as the bracket.
+    largest group is measured. For open groups a mergeable sketch per key (rank error below
+    n/accuracy) gives a bracket four errors wide on either side of each wanted rank. A second
+    pass counts what lies below, keeps the nearest value on either side, and counts the distinct
+    values inside, so ties cost one row and no group becomes an array.
     """
     rows = df.select(*_cols(keys), value.alias("_v")).where(F.col("_v").isNotNull())
     if groups_fit(df, keys) if bounded is None else bounded:
         aggs = [F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
         return rows.groupBy(*keys).agg(F.count("_v").alias("n"), *aggs)
 
-    margin = 4.0 / accuracy
-    lows = [max(p - margin, 0.0) for p in probs.values()]
-    highs = [min(p + margin, 1.0) for p in probs.values()]
+    margin, k = 4.0 / accuracy, len(probs)
+    wanted = [max(p - margin, 0.0) for p in probs.values()] + [min(p + margin, 1.0) for p in probs.values()]
     sketch = rows.groupBy(*keys).agg(
         F.count("_v").alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in lows + highs]), accuracy).alias("_q"),
+        F.percentile_approx("_v", F.array(*[F.lit(p) for p in wanted]), accuracy).alias("_q"),
     )
-    k = len(probs)
-    bracket = [*keys, "n"]
-    for i, p in enumerate(probs.values()):
-        small = F.col("n") < accuracy
-        bracket += [
-            F.when(small, F.col("_min")).otherwise(F.col("_q")[i]).alias(f"_lo{i}"),
-            F.when(small, F.col("_max")).otherwise(F.col("_q")[k + i]).alias(f"_hi{i}"),
-        ]
-    sketch = sketch.select(*bracket)
     joined = rows.join(sketch, list(keys)) if keys else rows.crossJoin(sketch)  # one sketch row
-    aggs = [F.first("n").alias("n")]
+    low, high = [F.col("_q")[i] for i in range(k)], [F.col("_q")[k + i] for i in range(k)]
+    v = F.col("_v")
+    beside = [F.first("n").alias("n")]
     for i in range(k):
-        inside = (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
-        aggs += [
-            F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}"),
-            F.sort_array(F.collect_list(F.when(inside, F.col("_v")))).alias(f"_in{i}"),
+        beside += [
+            F.count_if(v < low[i]).alias(f"_below{i}"),
+            F.max(F.when(v < low[i], v)).alias(f"_before{i}"),
+            F.min(F.when(v > high[i], v)).alias(f"_after{i}"),
         ]
-    out = joined.groupBy(*keys).agg(*aggs)
+    out = joined.groupBy(*keys).agg(*beside)
+    slots = F.array_compact(F.array(*[F.when((v >= low[i]) & (v <= high[i]), F.lit(i)) for i in range(k)]))
+    counted = joined.select(*_cols(keys), "_v", F.explode(slots).alias("_i")).groupBy(*keys, "_i", "_v").agg(
+        F.count(F.lit(1)).alias("_c")
+    )
+    so_far = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.sum("_c").over(so_far))
+    ranked = ranked.join(out, list(keys)) if keys else ranked.crossJoin(out)  # one row
+    place = [F.floor(F.lit(p) * (F.col("n") - 1)) - F.col(f"_below{i}") for i, p in enumerate(probs.values())]
+    inside = ranked.groupBy(*keys).agg(*[
+        F.min(F.when((F.col("_i") == i) & (F.col("_upto") > place[i] + step), v)).alias(f"_in{i}_{step}")
+        for i in range(k) for step in (0, 1)
+    ])
+    out = out.join(inside, list(keys)) if keys else out.crossJoin(inside)  # one row
     picks = []
     for i, (name, p) in enumerate(probs.items()):
         pos = F.lit(p) * (F.col("n") - 1)
-        lo = F.floor(pos)
-        at = (lo - F.col(f"_below{i}")).cast("int")
-        a = F.get(F.col(f"_in{i}"), at)
-        b = F.coalesce(F.get(F.col(f"_in{i}"), at + 1), a)
-        picks.append((a + (pos - lo) * (b - a)).alias(name))
+        a = F.when(place[i] < 0, F.col(f"_before{i}")).otherwise(F.coalesce(f"_in{i}_0", f"_after{i}"))
+        b = F.coalesce(F.col(f"_in{i}_1"), F.col(f"_after{i}"), a)
+        picks.append((a + (pos - F.floor(pos)) * (b - a)).alias(name))
     return out.select(*keys, "n", *picks)
 
 

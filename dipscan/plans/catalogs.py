@@ -69,10 +69,10 @@ def header_fallback(spark, d):
 @query("stellar_parameters", """
 SELECT coalesce(c.tic_id, h.tic_id) AS tic_id, CASE WHEN c.tic_id IS NOT NULL THEN c.teff ELSE h.teff END AS teff,
   CASE WHEN c.tic_id IS NOT NULL THEN 'TIC' ELSE 'light-curve header' END AS source
-FROM (SELECT c_custkey AS tic_id, c_acctbal AS teff FROM customer WHERE c_mktsegment <> 'BUILDING') c
+FROM (SELECT c_custkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 1000000000 ELSE 0 END AS tic_id, c_acctbal AS teff FROM customer) c
 FULL JOIN (SELECT o_custkey AS tic_id, min_by(o_totalprice, o_orderkey) AS teff FROM orders GROUP BY 1) h ON c.tic_id = h.tic_id""")
 def stellar_parameters(spark, d):
-    cat = S.map_tic_rows(table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey AS ID", "c_acctbal AS Teff"))
+    cat = S.map_tic_rows(table(spark, d, "customer").selectExpr("c_custkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 1000000000 ELSE 0 END AS ID", "c_acctbal AS Teff"))
     heads = S.header_fallback(table(spark, d, "orders").selectExpr("o_custkey AS tic_id", "o_orderkey AS sector", "o_totalprice AS TEFF"))
     return S.stellar_parameters(cat, heads).select("tic_id", "teff", "source")
 
@@ -196,7 +196,7 @@ def eligible_by_snr_proxy(spark, d):
 
 @query("first_per_class")
 def first_per_class(spark, d):
-    objects = tois(spark, d).where("disposition <> 'P'").withColumn("class", F.when(F.col("disposition") == "F", 0).otherwise(1))
+    objects = tois(spark, d).withColumn("class", F.when(F.col("disposition") == "F", 0).when(F.col("disposition") == "P", 2).otherwise(1))
     return K.first_per_class(objects, C.own_sectors(observations(spark, d).withColumn("target_name", F.replace("target_name", F.lit("TIC "), F.lit("")))), 15, 1, 3)
 
 

@@ -313,14 +313,16 @@ def symmetric_clip(spark, d):
 
 
 # ---- segments and trends
-GAPPED = "SELECT * FROM lc WHERE sector <> 2"
+GAPPED = "SELECT * REPLACE (t + 5 * (sector - 1) AS t, t_us + 432000000000 * (sector - 1) AS t_us) FROM lc"
 SEGMENT = """SELECT *, CAST(sum(CASE WHEN prev IS NULL OR t_us - prev > 8640000000 THEN 1 ELSE 0 END)
   OVER (PARTITION BY tic_id ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS INT) AS segment
   FROM (SELECT *, lag(t_us) OVER (PARTITION BY tic_id ORDER BY t_us) AS prev FROM gapped)"""
 
 
 def gapped(spark: SparkSession, d: str) -> DataFrame:
-    return V.lc(spark, d).where("sector <> 2")
+    """All rows, with five days without data between sectors."""
+    later = F.col("sector") - 1
+    return V.lc(spark, d).withColumns({"t": F.col("t") + 5 * later, "t_us": F.col("t_us") + 432_000_000_000 * later})
 
 
 @query("segment_bounds", with_views("lc", """

@@ -11,7 +11,7 @@ from ..operators import stats as A
 from ..operators.detrend import DetrendConfig, detrend, flat_curve
 from . import search_run as SR
 from . import views as V
-from .curves import CADENCE, FOLD, r, rs
+from .curves import CADENCE, FOLD, gapped, r, rs
 from .registry import query
 from .views import with_views
 
@@ -261,7 +261,7 @@ def single_events(spark, d):
 
 @query("edge_events")
 def edge_events(spark, d):
-    lc = V.lc(spark, d).where("sector <> 2")
+    lc = gapped(spark, d)
     cfg = SearchConfig(edge_event_sigma=2.0, min_duration=0.15, max_duration=0.3, duration_ratio=2.0, edge_gap=0.1)
     return H.edge_events(lc, A.curve_stats(lc), cfg)
 

@@ -311,3 +311,39 @@ def test_stream_takes_each_row_once(spark, tmp_path):
     lc.union(curve(spark, t, np.ones(t.size), tic=2)).write.mode("append").parquet(source)
     ingest(stream, str(tmp_path / "cp"), out)
     assert spark.read.parquet(out).count() == 2 * t.size
+
+
+def test_open_groups_have_the_same_quantiles_and_no_arrays(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    groups = {
+        1: [2.0] * 20_000, 2: rng.normal(size=30_000).tolist(), 3: [5.0], 4: [1.0, 9.0], 5: [1.0, 2.0, 4.0, 8.0, 16.0],
+        6: [0.0] * 9_999 + [1.0] * 10_001, 7: rng.integers(0, 3, 25_000).astype(float).tolist(),
+    }
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k int, x double")
+    probs = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 0.99, "e": 1.0}
+    out = A.quantiles(df, ["k"], df["x"], probs, bounded=False)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        want = np.quantile(groups[r.k], list(probs.values()))
+        assert r.n == len(groups[r.k])
+        np.testing.assert_allclose([r.a, r.b, r.c, r.d, r.e], want, rtol=0, atol=1e-12)
+
+
+def test_more_classes_than_a_hundred(spark):
+    rows = [(c, c * 10 + k, float(c * 10 + k)) for c in range(120) for k in range(3)] + [(119, 0, 5000.0)]
+    objects = spark.createDataFrame(rows, "class int, tic_id long, toi double").selectExpr(
+        "*", "5D AS period", "9D AS tmag", "2000D AS depth_ppm", "1D AS t0", "2D AS duration_hours"
+    )
+    sectors = objects.selectExpr("tic_id", "array(1, 2) AS sectors").distinct()
+    out = C.first_per_class(objects, sectors, 2, 1, 3).collect()
+    assert {r["class"] for r in out} == set(range(120)) and len({r.tic_id for r in out}) == len(out) == 240
+
+
+def test_last_pass_wins_among_edge_events(spark):
+    from dipscan.plans.search_run import distinct_events
+
+    rows = [(1, 1, 3.00004, 0.2, 9.0, 9.0), (1, 2, 3.00001, 0.1, 1.0, 1.0), (1, 1, 7.0, 0.3, 2.0, 2.0)]
+    events = spark.createDataFrame(rows, "tic_id long, pass int, time double, duration double, depth double, snr double")
+    assert sorted((r.time, r.depth) for r in distinct_events(events).collect()) == [(3.00001, 1.0), (7.0, 2.0)]
