@@ -6,8 +6,9 @@ count estimates a pair's similarity. Only pairs the estimate can't rule out reac
 
 Documents with equal sets form one class, settled by an aggregate; classes are compared by
 representative. Within a bucket nobody is compared with everybody: a first round compares every
-class with one hub; later rounds compare one hub per (bucket, component) with the other
-components' members, and end when no bucket holds two components that have unmet members.
+class with one hub; the next compares one hub per (bucket, component) with the other components'
+members, the following ones ever larger shares of what has not been a hub, until no bucket holds
+two components that have unmet members. As links merge components, few members are left by then.
 
 Defined cases. Null or wordless text: empty set, linked with nothing. Null ``doc_id``: component
 null, kept. Repeated rows: same class, each row is returned. Empty table: empty result. Extra
@@ -40,6 +41,8 @@ class Bands:
     sketch_words: int = 32  # 64-bit words of the bitmap
     #: Estimates below this don't reach the exact check: nearly four standard errors below 0.75.
     least_estimate: float = 0.68
+    #: After one hub per component: hubs are a 64th of the unmet members, an eighth, all.
+    hub_shares: tuple[int, ...] = (64, 8, 1)
 
 
 def _documents(batch: pa.RecordBatch, k: int):
@@ -179,7 +182,7 @@ def near_duplicates(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
     links = materialize(_confirmed(first, sets, cfg), "links")
     labels = components(links)
     unmet = rows.select("bucket", "band", "node").join(sketches, "node").join(reps, "node")
-    while True:
+    for share in (None, *cfg.hub_shares):
         named = unmet.join(labels, "node", "left").select(
             "bucket", "band", "node", "sketch", "bands", F.coalesce("component_id", "node").alias("c")
         )
@@ -190,20 +193,23 @@ def near_duplicates(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
         named = materialize(named.join(split, "bucket", "left_semi"), "unmet")
         if named.isEmpty():
             break
-        first_of = named.groupBy("bucket", "c").agg(F.min("node").alias("v"))
-        named = named.join(first_of.withColumnRenamed("v", "own"), ["bucket", "c"])
-        lead = named.where("node = own").select(
+        if share is None:
+            first_of = named.groupBy("bucket", "c").agg(F.min("node").alias("own"))
+            named = named.join(first_of, ["bucket", "c"]).withColumn("is_hub", F.col("node") == F.col("own"))
+        else:
+            named = named.withColumn("is_hub", F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
+        lead = named.where("is_hub").select(
             "bucket", F.col("c").alias("hc"), F.col("node").alias("v"), F.col("sketch").alias("kv"), F.col("bands").alias("bv")
         )
-        # two leads meet once; a pair that shares buckets meets in the first of them
-        new = (F.col("c") != F.col("hc")) & ((F.col("node") != F.col("own")) | (F.col("node") > F.col("v")))
+        # two hubs meet once; a pair that shares buckets meets in the first of them
+        new = (F.col("c") != F.col("hc")) & (~F.col("is_hub") | (F.col("node") > F.col("v")))
         earliest = F.array_position(F.zip_with("bands", "bv", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
         pairs = (
             named.join(lead, "bucket").where(new & _alike(cfg, "sketch", "kv") & earliest)
             .select(F.col("node").alias("u"), "v")
         )
         found = materialize(_confirmed(pairs, sets, cfg), "links")
-        unmet = named.where("node <> own").select("bucket", "band", "node", "sketch", "bands")
+        unmet = named.where("NOT is_hub").select("bucket", "band", "node", "sketch", "bands")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
