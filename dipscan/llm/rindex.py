@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipscan.llm import text as X
+from dipscan.llm.common import release
 from dipscan.session import materialize
 
 
@@ -344,15 +345,8 @@ def deduplicated(docs: DataFrame, cfg: Index = Index(), keep: bool = True) -> Da
         rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-int(size) // cfg.bucket_bytes))
-    packed = rows.where("doc_id IS NOT NULL AND octet_length(text) >= %d" % cfg.window).select("row", "doc_id", "text")
-    packed = packed.mapInArrow(_pack(cfg, n_buckets), "bucket int, payload binary")
-    spans = (
-        packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_buckets(cfg), "row long, a long, b long")
-    )
-    # no more spans than the text has windows
-    gone = spans.groupBy("row").agg(F.collect_list("a").alias("begins"), F.collect_list("b").alias("ends"))
-    gone = materialize(gone, "spans")
+    gone = _spans(rows, n_buckets, cfg)
+    release(rows.sparkSession)  # the segments' shuffle, three times the input
 
     @F.arrow_udf(_KEPT)
     def cut(texts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
@@ -361,3 +355,16 @@ def deduplicated(docs: DataFrame, cfg: Index = Index(), keep: bool = True) -> Da
     out = rows.join(gone, "row", "left").select("doc_id", cut("text", "begins", "ends").alias("x"))
     columns = ["x.n_bytes", "x.n_removed", "x.n_spans", "x.kept_sha256"] + ["x.kept"] * keep
     return out.select("doc_id", *columns)
+
+
+def _spans(rows: DataFrame, n_buckets: int, cfg: Index) -> DataFrame:
+    """(row, begins, ends) of the spans to remove, written."""
+    packed = rows.where("doc_id IS NOT NULL AND octet_length(text) >= %d" % cfg.window).select("row", "doc_id", "text")
+    packed = packed.mapInArrow(_pack(cfg, n_buckets), "bucket int, payload binary")
+    spans = (
+        packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_buckets(cfg), "row long, a long, b long")
+    )
+    # no more spans than the text has windows
+    gone = spans.groupBy("row").agg(F.collect_list("a").alias("begins"), F.collect_list("b").alias("ends"))
+    return materialize(gone, "spans")
