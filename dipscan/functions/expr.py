@@ -86,10 +86,6 @@ def a_rs_from_mass_radius(period: Column, mass: Column, radius: Column) -> Colum
     return a / (radius * R_SUN)
 
 
-def density_solar_units(rho: Column) -> Column:
-    return rho / RHO_SUN
-
-
 def central_duration(period: Column, rho_solar: Column | float) -> Column:
     """Duration of a central dip of a small body around a star of this density."""
     rho = F.lit(rho_solar) if isinstance(rho_solar, float) else rho_solar
@@ -257,5 +253,3 @@ def jsonable(c: Column) -> Column:
     """NaN and infinities as NULL, for strict JSON."""
     return null_if_not_finite(c)
 
-
-UNITS = {"R_JUP": R_JUP, "R_EARTH": R_EARTH, "AU": AU, "R_SUN": R_SUN}

@@ -103,11 +103,6 @@ def dip_rows(df: DataFrame, cands: DataFrame, extent: DataFrame, reach: float) -
     return rows.where(F.col("epoch") == F.rint((F.col("t") - F.col("t0")) / F.col("period")))
 
 
-def candidate_rows(df: DataFrame, cands: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every row of a target once per candidate of it (for out-of-dip statistics)."""
-    return df.join(cands.select("cand_id", *columns), "tic_id")
-
-
 def ratio_pairs(a: DataFrame, b: DataFrame, ratios: Sequence[float], tol: float) -> DataFrame:
     """Pairs of one target whose period ratio a/b is within ``tol`` of one of ``ratios``.
 

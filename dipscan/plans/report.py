@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DetrendConfig, SearchConfig, VetConfig
 from ..functions.expr import fold, jsonable
+from ..operators import pixels as P
 from ..operators import search as H
 from ..operators import stats as A
 from ..operators import vetting as T
@@ -16,6 +17,10 @@ from ..session import materialize
 from .search_run import SearchResult, iterative_search
 
 
+#: Candidate ids are the target's id times this, plus the iteration; searches end long before.
+ITERATIONS = 1_000_000
+
+
 def vet(
     lc: DataFrame,
     cands: DataFrame,
@@ -89,16 +94,23 @@ def run_curves(
     dumps: DataFrame | None = None,
     densities: DataFrame | None = None,
     width_factor: float = 2.0,
+    samples: DataFrame | None = None,
+    stellar: DataFrame | None = None,
+    pixels: DataFrame | None = None,
+    stamps: DataFrame | None = None,
 ) -> tuple[DataFrame, SearchResult]:
     """Detrend, search, detrend again with all dips masked, drop stray dips, vet, report.
 
+    ``samples``: tic_id, iteration, rho, b, rp_rs (draws of a fit); ``stellar``: tic_id, rho_cat,
+    rho_cat_err, radius and optionally teff; ``pixels`` and ``stamps`` as the pixel operators take
+    them. A test whose tables are missing is recorded as not applicable or not run.
     Returns one nested report row per target, and the search's own tables.
     """
     search, config = search or SearchConfig(), config or VetConfig()
     first = flat_curve(detrend(raw, detrending))
     found = iterative_search(first, search, raw, detrending, densities)
     detections = found.signals.where("detected").withColumn(
-        "cand_id", F.col("tic_id") * 16 + F.col("iteration")
+        "cand_id", F.col("tic_id") * ITERATIONS + F.col("iteration")
     )
     detections = materialize(detections, "detections")
     marked = mark_ephemerides(raw, detections, width_factor)
@@ -120,6 +132,8 @@ def run_curves(
         "cand_id", "tic_id", "_tic", "period", "t0", "duration", "depth",
         k.alias("rp_rs"), a_rs.alias("a_rs"),
     )
+    if stellar is not None and "teff" in stellar.columns:
+        cands = cands.join(stellar.select(F.col("tic_id").alias("_tic"), "teff"), "_tic", "left")
     curves = materialize(A.curve_stats(planet), "planet-stats")
     noise = T.noise_properties(planet, cands, curves)
     depths = materialize(T.transit_depths(planet, cands, curves, noise), "planet-depths")
@@ -142,8 +156,16 @@ def run_curves(
     if dumps is not None:
         own_dumps = dumps.withColumnRenamed("tic_id", "_tic").join(by_cand, "_tic").select("tic_id", "t")
     own_rotation = rotation.withColumnRenamed("tic_id", "_tic").join(by_cand, "_tic").drop("_tic")
+    ids = base.select("cand_id", "tic_id", "iteration")
+    own_samples = None if samples is None else samples.join(ids, ["tic_id", "iteration"]).drop("tic_id", "iteration")
+    own_stars = None if stellar is None else stellar.join(ids.drop("iteration"), "tic_id").drop("tic_id")
+    centroid = None
+    if pixels is not None and stamps is not None:
+        real = cands.select("cand_id", F.col("_tic").alias("tic_id"), "period", "t0", "duration", "depth")
+        measured = materialize(P.measure_centroids(pixels, flat, real, stamps, config), "centroids")
+        centroid = P.centroid_test(real, measured, None, config).select("cand_id", "status", "statistic")
     verdicts = materialize(
-        vet(planet, cands, curves, own_dumps, config, own_rotation), "verdicts"
+        vet(planet, cands, curves, own_dumps, config, own_rotation, own_samples, own_stars, centroid), "verdicts"
     )
     entry = (
         base.join(verdicts, "cand_id", "left").join(chunks, "cand_id", "left")
