@@ -40,3 +40,22 @@ SELECT doc_id, license, max(c) AS containment FROM (
   GROUP BY doc_id, t.i, license) AS g
 WHERE c >= 0.75 GROUP BY doc_id, license
 """
+
+
+VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT reach.u, p.w FROM reach JOIN p ON reach.w = p.u
+), c AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM p GROUP BY u)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.u = v.vec_id LEFT JOIN n ON n.u = v.vec_id
+"""

@@ -89,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
     from dipscan.llm import oracles
     from dipscan.llm.licenses import NOTICES
 
-    return {"op9_license_bands": oracles.licenses(NOTICES), "op10_minhash": oracles.MINHASH}
+    return {
+        "op8_itq": oracles.VECTORS, "op9_license_bands": oracles.licenses(NOTICES), "op10_minhash": oracles.MINHASH,
+    }
