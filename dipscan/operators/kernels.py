@@ -77,23 +77,24 @@ def _location(
         return np.where(inside, kept, 0.0).sum(axis=1) / np.maximum(n, 1)
     scale = mad if method in ("biweight", "tau") else 1.4826 * mad
     safe = np.where(scale > 0, scale, 1.0)
-    centre = med.copy()
+    centre, todo = med.copy(), rows
     for _ in range(1 if method == "tau" else passes):
-        u = np.where(inside, (v - centre[:, None]) / (c * safe[:, None]), np.inf)
+        ins, at, s = inside[todo], centre[todo], safe[todo]
+        u = np.where(ins, (v[todo] - at[:, None]) / (c * s[:, None]), np.inf)
         if method in ("biweight", "tau"):
             w = np.where(np.abs(u) < 1, (1 - np.minimum(u * u, 1.0)) ** 2, 0.0)
         elif method == "huber_psi":
-            w = np.where(inside, 1.0 / np.maximum(np.abs(u), 1.0), 0.0)
+            w = np.where(ins, 1.0 / np.maximum(np.abs(u), 1.0), 0.0)
         elif method == "welsch":
-            w = np.where(inside, np.exp(-np.minimum(u * u, 700.0)), 0.0)
+            w = np.where(ins, np.exp(-np.minimum(u * u, 700.0)), 0.0)
         else:  # Andrews' sine
             w = np.where(np.abs(u) <= np.pi, np.sinc(np.minimum(np.abs(u), np.pi) / np.pi), 0.0)
         total = w.sum(axis=1)
-        step = (w * filled).sum(axis=1) / np.where(total > 0, total, 1.0)
-        moved = np.where((scale > 0) & (total > 0), step, centre)
-        settled = np.all(np.abs(moved - centre) <= 1e-9 * safe)
-        centre = moved
-        if settled:
+        step = (w * filled[todo]).sum(axis=1) / np.where(total > 0, total, 1.0)
+        moved = np.where((scale[todo] > 0) & (total > 0), step, at)
+        centre[todo] = moved
+        todo = todo[np.abs(moved - at) > 1e-9 * s]  # each row stops by itself
+        if not todo.size:
             break
     return centre
 
