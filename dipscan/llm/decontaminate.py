@@ -14,6 +14,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,7 @@ class Templates:
     window: int = 6
     stride: int = 3  # of a document's windows
     least_coverage: float = 0.5  # of the item's tokens
-    least_run: int = 13  # or so many agreeing tokens, of a long item
+    least_run: int = 13  # or so many agreeing tokens in a row, of a long item
     broadcast_windows: int = 2_000_000  # benchmark windows that are broadcast (16 bytes each); more are shuffled
 
 
@@ -66,6 +67,16 @@ def _exploded(rows: DataFrame, keys: list[str], cfg: Templates, stride: int) ->
     )
 
 
+def _runs(laid: Column, agrees: Callable[[Column], Column]) -> Column:
+    """The runs of agreeing elements as (first, from 1; n), empty ones between neighboring breaks too."""
+    breaks = F.filter(F.transform(laid, lambda x, i: F.when(~agrees(x), i + 1)), lambda i: i.isNotNull())
+    ends = F.concat(breaks, F.array(F.size(laid) + 1))
+    return F.zip_with(
+        F.concat(F.array(F.lit(0)), breaks), ends,
+        lambda a, b: F.struct((a + 1).alias("first"), (b - a - 1).alias("n")),
+    )
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, cfg: Templates = Templates()) -> DataFrame:
     """Contaminated rows: doc_id, version (hash of the text), item_id and how far they agree."""
     rows = docs.select(
@@ -107,11 +118,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Templates = Templates())
         F.slice(tokens(F.col("text")), first, n - skip).alias("dw"),
         F.slice(tokens(canonical(F.col("text"))), first, n - skip).alias("dt"),
     )
-    both = F.filter(
-        F.arrays_zip("iw", "it", "dw", "dt"),
-        lambda x: F.coalesce(x["it"] == x["dt"], F.lit(False)),
-    )
-    found = found.withColumn("_same", both)
+    agrees = lambda x: F.coalesce(x["it"] == x["dt"], F.lit(False))
+    found = found.withColumn("_zip", F.arrays_zip("iw", "it", "dw", "dt"))
+    found = found.withColumn("_same", F.filter("_zip", agrees)).withColumn("_runs", _runs(F.col("_zip"), agrees))
     trim = lambda w: F.regexp_replace(w, r"^[^\w$]+|[^\w%]+$", "")
     slots = F.array_distinct(F.transform(
         F.filter("_same", lambda x: x["it"].startswith("<")),
@@ -119,12 +128,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Templates = Templates())
     ))
     found = found.withColumn("_slots", slots).select(
         "doc_id", "version", "item", "item_id", "shift", "n_tokens", F.size("_same").alias("n_agreeing"),
-        F.size("_slots").alias("n_slots"),
+        F.array_max("_runs.n").alias("n_run"), F.size("_slots").alias("n_slots"),
         (F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["mine"])))) == F.size("_slots"))
         .alias("consistent"),
         F.forall("_slots", lambda s: s["mine"] == s["theirs"]).alias("same_values"),
     )
-    enough = (F.col("n_agreeing") >= cfg.least_coverage * F.col("n_tokens")) | (F.col("n_agreeing") >= cfg.least_run)
+    enough = (F.col("n_agreeing") >= cfg.least_coverage * F.col("n_tokens")) | (F.col("n_run") >= cfg.least_run)
     least = cfg.window + cfg.stride - 1
     return (
         found.where(enough & (F.col("n_agreeing") >= least) & F.col("consistent"))

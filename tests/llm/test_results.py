@@ -194,6 +194,15 @@ def test_reparameterised_questions(spark):
     ).collect() == []
 
 
+def test_scattered_agreement_is_no_run(spark):
+    words = [f"word{i}" for i in range(100)]
+    scattered = [w if i < 6 or i % 8 == 0 else f"other{i}" for i, w in enumerate(words)]
+    in_a_row = [w if i < 13 else f"other{i}" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(scattered)), (2, " ".join(in_a_row))], "doc_id long, text string")
+    got = decontaminate.report(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {2}
+
+
 def ranks(truth, score):
     order = np.argsort(np.argsort(score))
     n = truth.sum()
