@@ -2,12 +2,15 @@
 
 Numbers, names and units become typed placeholders, so a question with other numbers keeps its
 template. Windows of template tokens are hashed and joined; every item's windows start at each
-token, a document's at every third, so that any run of eight shared template tokens meets. A
-candidate is then laid over the item token by token: enough tokens must agree, and slots must be
-filled consistently (one value of the item always stands for one value of the document).
-
-Defined cases. Null or empty text, on either side: matches nothing. Items under eight tokens are
-too short to tell and match nothing. Null ids are carried. Repeated rows: each is judged alike.
+token, a document's at every third, so that any run of eight shared tokens meets. A window of fewer
+than three literals fits any table or list of names, so it meets by its values instead. A candidate
+is then laid over the item token by token: enough tokens must agree (with their values, if they met
+by values), and inside a contiguous run slots must be filled consistently (one value of the item
+always stands for one value of the document).
+
+Defined cases. Null or empty text, on either side: matches nothing. An item under eight tokens
+matches where a document holds its whole token sequence: the values, or a template of three literals
+at least. Null ids are carried. Repeated rows: each is judged alike.
 Empty tables: no match. Extra columns of documents pass through; those of the benchmark are
 ignored.
 """
@@ -35,6 +38,7 @@ UNITS = (
 @dataclass(frozen=True)
 class Templates:
     window: int = 6
+    literals: int = 3  # of a window, to meet by its template; one with fewer meets by its values
     stride: int = 3  # of a document's windows
     least_coverage: float = 0.5  # of the item's tokens
     least_run: int = 13  # or so many agreeing tokens in a row, of a long item
@@ -56,17 +60,59 @@ def tokens(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
 
 
-def _exploded(rows: DataFrame, keys: list[str], cfg: Templates, stride: int) -> DataFrame:
-    """keys, place and hash of each window of ``text``."""
-    hashed = rows.select(*keys, F.transform(tokens(canonical(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
-    last = F.size("h") - cfg.window
-    places = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride)))
-    hashes = F.transform(places, lambda i: F.xxhash64(F.slice("h", i + 1, cfg.window)))
-    return hashed.select(*keys, F.posexplode(hashes)).select(
-        *keys, (F.col("pos") * stride).alias("place"), F.col("col").alias("window")
+def _trimmed(word: Column) -> Column:
+    return F.regexp_replace(word, r"^[^\w$]+|[^\w%]+$", "")
+
+
+def _placeholder(word: Column) -> Column:
+    return word.startswith("<")
+
+
+def _value(template: Column, word: Column) -> Column:
+    return F.when(_placeholder(template), F.lower(_trimmed(word))).otherwise(template)
+
+
+def _hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and, token for token: ``h``, hashes of the template; ``r``, the same with slots by value; ``slot``."""
+    both = rows.select(*keys, tokens(canonical(F.col("text"))).alias("t"), tokens(F.col("text")).alias("w"))
+    return both.select(
+        *keys, F.transform("t", lambda t: F.xxhash64(t)).alias("h"), F.zip_with("t", "w", lambda t, w: F.xxhash64(_value(t, w))).alias("r"),
+        F.transform("t", _placeholder).alias("slot"),
+    )
+
+
+def _window(at: Column, width: int, cfg: Templates) -> Column:
+    """dense and window: the hash of the template, or of the values where the template says too little."""
+    dense = width - F.size(F.filter(F.slice("slot", at + 1, width), lambda x: x)) < cfg.literals
+    kept = F.when(dense, F.xxhash64(F.slice("r", at + 1, width))).otherwise(F.xxhash64(F.slice("h", at + 1, width)))
+    return F.struct(at.alias("place"), dense.alias("dense"), kept.alias("window"))
+
+
+def _places(width: int, stride: int) -> Column:
+    last = F.size("h") - width
+    return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(stride: int, cfg: Templates) -> Column:
+    """Every ``stride``-th window: place, dense, window."""
+    return F.transform(_places(cfg.window, stride), lambda i: _window(i, cfg.window, cfg))
+
+
+def _short(width: int, cfg: Templates) -> Column:
+    """Every window of ``width`` tokens by its values, and by its template too if that says enough."""
+    by_value = lambda i: F.struct(
+        i.alias("place"), F.lit(True).alias("dense"), F.xxhash64(F.slice("r", i + 1, width)).alias("window")
+    )
+    return F.concat(
+        F.transform(_places(width, 1), by_value),
+        F.filter(F.transform(_places(width, 1), lambda i: _window(i, width, cfg)), lambda x: ~x["dense"]),
     )
 
 
+def _exploded(hashed: DataFrame, keys: list[str], windows: Column) -> DataFrame:
+    return hashed.select(*keys, F.explode(windows).alias("e")).select(*keys, "e.*")
+
+
 def _runs(laid: Column, agrees: Callable[[Column], Column]) -> Column:
     """The runs of agreeing elements as (first, from 1; n), empty ones between neighboring breaks too."""
     breaks = F.filter(F.transform(laid, lambda x, i: F.when(~agrees(x), i + 1)), lambda i: i.isNotNull())
@@ -86,20 +132,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Templates = Templates())
     # numbered by content: items that share an id or have none stay apart
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
-    ).where("text IS NOT NULL").distinct().withColumn("item", F.xxhash64("item_id", "text"))
-    literal = F.size(F.filter(
-        F.slice(tokens(canonical(F.col("text"))), F.col("place") + 1, cfg.window), lambda w: ~w.startswith("<")
-    ))
-    wanted = (
-        _exploded(items, ["item", "text"], cfg, 1).where(literal * 2 >= cfg.window)
-        .select("item", F.col("place").alias("at"), "window")
-    )
+    ).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    least = cfg.window + cfg.stride - 1
+    short = F.size("h") < least
+    hashed = _hashed(items, ["item"])
+    widths = sorted(r[0] for r in hashed.where(short).select(F.size("h")).distinct().collect())
+    windows = _windows(1, cfg)
+    for n in widths:
+        windows = F.when(F.size("h") == n, _short(n, cfg)).otherwise(windows)
+    wanted = _exploded(hashed, ["item"], windows).select("item", F.col("place").alias("at"), "dense", "window")
     wanted = materialize(wanted, "windows")
     if wanted.count() <= cfg.broadcast_windows:
         wanted = F.broadcast(wanted)
+    # for the widths of short items, if there are any, documents are read at every place
+    places = F.concat(_windows(cfg.stride, cfg), *[_short(n, cfg) for n in widths])
     met = (
-        _exploded(rows, ["doc_id", "version"], cfg, cfg.stride).join(wanted, "window")
-        .select("doc_id", "version", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
+        _exploded(_hashed(rows, ["doc_id", "version"]), ["doc_id", "version"], places).drop("dense")
+        .join(wanted, "window")
+        .select("doc_id", "version", "item", (F.col("place") - F.col("at")).alias("shift"), "dense").distinct()
     )
     laid = items.select(
         "item", "item_id", tokens(F.col("text")).alias("iw"), tokens(canonical(F.col("text"))).alias("it")
@@ -107,36 +157,53 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: Templates = Templates())
     found = (
         materialize(met, "candidates").join(laid, "item")
         .join(rows.withColumnRenamed("doc_id", "_d"), (F.col("_d").eqNullSafe(F.col("doc_id"))) & (rows["version"] == met["version"]))
-        .select("doc_id", met["version"], "item", "item_id", "shift", "iw", "it", "text")
+        .select("doc_id", met["version"], "item", "item_id", "shift", "dense", "iw", "it", "text")
     )
     n = F.size("it")
     first = F.greatest(F.col("shift") + 1, F.lit(1))
     skip = F.greatest(-F.col("shift"), F.lit(0))
     found = found.select(
-        "doc_id", "version", "item", "item_id", "shift", n.alias("n_tokens"),
+        "doc_id", "version", "item", "item_id", "shift", "dense", n.alias("n_tokens"),
         F.slice("iw", skip + 1, n).alias("iw"), F.slice("it", skip + 1, n).alias("it"),
         F.slice(tokens(F.col("text")), first, n - skip).alias("dw"),
         F.slice(tokens(canonical(F.col("text"))), first, n - skip).alias("dt"),
     )
-    agrees = lambda x: F.coalesce(x["it"] == x["dt"], F.lit(False))
+    # what met by its values is judged by them, what met by its template by that
+    agrees = lambda x: F.coalesce(
+        F.when(F.col("dense"), _value(x["it"], x["iw"]) == _value(x["dt"], x["dw"])).otherwise(x["it"] == x["dt"]),
+        F.lit(False),
+    )
     found = found.withColumn("_zip", F.arrays_zip("iw", "it", "dw", "dt"))
-    found = found.withColumn("_same", F.filter("_zip", agrees)).withColumn("_runs", _runs(F.col("_zip"), agrees))
-    trim = lambda w: F.regexp_replace(w, r"^[^\w$]+|[^\w%]+$", "")
-    slots = F.array_distinct(F.transform(
-        F.filter("_same", lambda x: x["it"].startswith("<")),
-        lambda x: F.struct(x["it"].alias("kind"), trim(x["iw"]).alias("mine"), trim(x["dw"]).alias("theirs")),
+    found = found.withColumn("n_agreeing", F.size(F.filter("_zip", agrees))).withColumn("_runs", _runs(F.col("_zip"), agrees))
+    # slots are judged inside a run: what stands beside it says nothing about it
+    slots = lambda run: F.array_distinct(F.transform(
+        F.filter(F.slice("_zip", run["first"], run["n"]), lambda x: _placeholder(x["it"])),
+        lambda x: F.struct(
+            x["it"].alias("kind"), _trimmed(x["iw"]).alias("mine"), _trimmed(x["dw"]).alias("theirs")
+        ),
     ))
-    found = found.withColumn("_slots", slots).select(
-        "doc_id", "version", "item", "item_id", "shift", "n_tokens", F.size("_same").alias("n_agreeing"),
-        F.array_max("_runs.n").alias("n_run"), F.size("_slots").alias("n_slots"),
-        (F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"], s["mine"])))) == F.size("_slots"))
-        .alias("consistent"),
-        F.forall("_slots", lambda s: s["mine"] == s["theirs"]).alias("same_values"),
+    floor = F.least(F.lit(cfg.window), F.col("n_tokens"))
+    found = found.withColumn("_judged", F.transform(
+        F.filter("_runs", lambda run: run["n"] >= floor), lambda run: F.struct(run["n"].alias("n"), slots(run).alias("slots"))
+    ))
+    mine = lambda run: F.array_distinct(F.transform(run["slots"], lambda s: F.struct(s["kind"], s["mine"])))
+    found = found.withColumn("_best", F.array_max(F.transform(
+        F.filter("_judged", lambda run: F.col("dense") | (F.size(mine(run)) == F.size(run["slots"]))),
+        lambda run: F.struct(
+            run["n"].alias("n"), F.size(run["slots"]).alias("n_slots"),
+            F.forall(run["slots"], lambda s: s["mine"] == s["theirs"]).alias("same_values"),
+        ),
+    ))).select(
+        "doc_id", "version", "item", "item_id", "shift", "n_tokens", "n_agreeing", F.col("_best.n").alias("n_run"),
+        "_best.n_slots", "_best.same_values",
+    )
+    # only a run of consistent slots counts; an item too short for windows must be held as a whole
+    enough = F.when(F.col("n_tokens") < least, F.col("n_run") >= F.col("n_tokens")).otherwise(
+        (F.col("n_run") >= cfg.least_run)
+        | ((F.col("n_agreeing") >= cfg.least_coverage * F.col("n_tokens")) & (F.col("n_agreeing") >= least))
     )
-    enough = (F.col("n_agreeing") >= cfg.least_coverage * F.col("n_tokens")) | (F.col("n_run") >= cfg.least_run)
-    least = cfg.window + cfg.stride - 1
     return (
-        found.where(enough & (F.col("n_agreeing") >= least) & F.col("consistent"))
+        found.where(F.col("n_run").isNotNull() & enough)
         .groupBy("doc_id", "version", "item", "item_id")
         .agg(F.max(F.struct("n_agreeing", "n_tokens", "n_slots", "same_values", "shift")).alias("best"))
         .select("doc_id", "version", "item_id", "best.*")

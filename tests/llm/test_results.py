@@ -203,6 +203,23 @@ def test_scattered_agreement_is_no_run(spark):
     assert {r.doc_id for r in got.collect()} == {2}
 
 
+def test_contamination_by_values_halves_and_short_items(spark):
+    series = "3 8 15 24 35 48 63 80 99 120 143 168"
+    other = "4 9 16 25 36 49 64 81 100 121 144 169"
+    half = "a farmer sells 5 apples to his neighbor and keeps the others for himself"
+    rest = "then he buys 5 pears at once from the old market in town"
+    bench = spark.createDataFrame(
+        [(1, series), (2, f"{half} {rest}"), (3, "what is 5 plus 7"), (4, "Paris 1900")], "item_id long, text string"
+    )
+    docs = spark.createDataFrame([
+        (1, f"table of numbers {series} and so on"), (2, f"table of numbers {other} and so on"),
+        (3, f"{half.replace('5', '6')} nobody ever saw 7 of these again"), (4, "tell me what is 31 plus 12 please"),
+        (5, "born in Paris 1900 as a child"), (6, "born in Paris 1901 as a child"),
+    ], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (5, 4)}
+
+
 def ranks(truth, score):
     order = np.argsort(np.argsort(score))
     n = truth.sum()
