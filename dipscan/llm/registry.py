@@ -53,6 +53,24 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.spelling import variants
+
+    return variants(table(spark, folder, "documents"))
+
+
+def op12_qdwh(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.whitening import whitened
+
+    return whitened(table(spark, folder, "embeddings"))
+
+
+def op13_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from dipscan.llm.packing import pieces, public
+
+    return pieces(table(spark, folder, "documents"), public())
+
+
 def op1_templates(spark: SparkSession, folder: str) -> DataFrame:
     from dipscan.llm.decontaminate import report
 
@@ -81,7 +99,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_templates": op1_templates, "op2_line_alignment": op2_line_alignment, "op3_entropy_mix": op3_entropy_mix,
         "op4_run_index": op4_run_index, "op5_ftrl": op5_ftrl, "op6_byte_cnn": op6_byte_cnn, "op7_log_bilinear": op7_log_bilinear, "op8_itq": op8_itq,
-        "op9_license_bands": op9_license_bands, "op10_minhash": op10_minhash, "pipeline": pipeline,
+        "op9_license_bands": op9_license_bands, "op10_minhash": op10_minhash, "op11_spelling": op11_spelling,
+        "op12_qdwh": op12_qdwh, "op13_retrieval_packing": op13_retrieval_packing, "pipeline": pipeline,
     }
 
 
