@@ -22,6 +22,7 @@ from ..functions.special import chi2_sf, log_ndtr, ndtri_exp
 from ..session import materialize, spread
 from .joins import dip_rows, drop_near, epochs, near
 from .kernels import fit_shift, fit_trapezoid
+from .quiet import QuietCurves
 from .sequence import segments, suppress
 from .stats import MAD_SCALE, bin_rows, binned_rms, groups_fit, medians, quantiles, robust_std
 
@@ -44,26 +45,19 @@ def noise_properties(lc: DataFrame, cands: DataFrame, curves: DataFrame) -> Data
     still under 100, all.
     """
     info = cands.select("cand_id", "tic_id", "period", "t0", "duration")
-    rows = lc.select("tic_id", "t", "t_us", "flux").join(info, "tic_id")
-    t, p, t0, d = (F.col(c) for c in ("t", "period", "t0", "duration"))
-    away = F.abs(fold(t, p, t0))
-    clear = (away > d) & (F.abs(fold(t, p, t0 + 0.5 * p)) > d)
-    outside = away > 0.5 * d
-    rows = rows.withColumns({"_clear": clear, "_outside": outside})
-    choice = rows.groupBy("cand_id").agg(
-        (F.count_if("_clear") >= 100).alias("_use_clear"),
-        (F.count_if("_outside") >= 100).alias("_use_outside"),
-    )
-    rows = rows.join(choice, "cand_id").where(
-        F.when(F.col("_use_clear"), F.col("_clear"))
-        .when(F.col("_use_outside"), F.col("_outside"))
-        .otherwise(F.lit(True))
-    )
-    rows = materialize(rows.select("cand_id", "duration", "t", "t_us", "flux"), "quiet")
-    fits = groups_fit(rows, ["cand_id"])
-    sigma = robust_std(rows, ["cand_id"], F.col("flux"), "sigma", fits).select("cand_id", "sigma")
-    binned = binned_rms(rows, ["cand_id", "duration"], d, name="_binned", bounded=fits)
-    binned = binned.drop("duration")
+    quiet, ids = QuietCurves(lc), ["cand_id"]
+    d = F.col("duration")
+    dips = materialize(quiet.members(info, ids, (0.0, 0.5)), "dips")
+    core = (F.col("_phase") == 0) & (F.col("_off") <= 0.5 * d)
+    counts = dips.groupBy("cand_id").agg(F.count(F.lit(1)).alias("_near"), F.count_if(core).alias("_core"))
+    left = {c: F.col("n_rows") - F.coalesce(c, F.lit(0)) for c in ("_near", "_core")}
+    choice = info.join(quiet.info.select("tic_id", "n_rows"), "tic_id").join(counts, "cand_id", "left").select(
+        "cand_id", (left["_near"] >= 100).alias("_use_clear"), (left["_core"] >= 100).alias("_use_outside")
+    )
+    out = dips.join(choice, "cand_id").where(F.col("_use_clear") | (F.col("_use_outside") & core))
+    out = materialize(out.select("cand_id", "seq", "t", "_y", "_cycle", "flux", "flux_bucket", "dt_us", "dt_us_bucket"), "noise-out")
+    sigma = quiet.scatter(info, ids, out)
+    binned = quiet.binned_scatter(info, ids, out, materialize(quiet.islands(out, ids), "islands"), "_binned")
     out = (
         info.join(sigma, "cand_id")
         .join(binned, "cand_id", "left")

@@ -318,19 +318,30 @@ def transits_with_data(spark, d):
     return H.transits_with_data(lc, V.cands(spark, d), A.curve_stats(lc))
 
 
-@query("red_noise_snr", with_views("lc cands", """
+RED_NOISE = """
 SELECT cand_id, round(any_value(depth) / (1.4826D * median(abs(m - mm)) / sqrt(3.0D)), 5) AS snr
 FROM (SELECT b.*, median(m) OVER (PARTITION BY cand_id) AS mm FROM b JOIN ocad USING (cand_id) WHERE c >= 0.5D * greatest(duration / cadence, 1.0D))
 GROUP BY cand_id HAVING count(*) >= 3 AND median(abs(m - mm)) > 0
-UNION ALL SELECT cand_id, NULL FROM cands WHERE cand_id NOT IN (SELECT cand_id FROM b JOIN ocad USING (cand_id) WHERE c >= 0.5D * greatest(duration / cadence, 1.0D) GROUP BY 1 HAVING count(*) >= 3)""",
+UNION ALL SELECT cand_id, NULL FROM cands WHERE cand_id NOT IN (SELECT cand_id FROM b JOIN ocad USING (cand_id) WHERE c >= 0.5D * greatest(duration / cadence, 1.0D) GROUP BY 1 HAVING count(*) >= 3)"""
+RED_STEPS = dict(
     nr=NEAR, oot="SELECT * FROM nr WHERE NOT abs(dt) < duration",
     ocad="SELECT cand_id, median(x) / 86400000000.0D AS cadence FROM (SELECT cand_id, t_us - lag(t_us) OVER (PARTITION BY cand_id ORDER BY t_us) AS x FROM oot) WHERE x IS NOT NULL GROUP BY 1",
-    b="SELECT cand_id, any_value(duration) AS duration, any_value(depth) AS depth, avg(flux) AS m, count(*) AS c FROM oot JOIN (SELECT cand_id, min(t) AS x0 FROM oot GROUP BY 1) USING (cand_id) GROUP BY cand_id, floor((t - x0) / duration)"))
+    b="SELECT cand_id, any_value(duration) AS duration, any_value(depth) AS depth, avg(flux) AS m, count(*) AS c FROM oot JOIN (SELECT cand_id, min(t) AS x0 FROM oot GROUP BY 1) USING (cand_id) GROUP BY cand_id, floor((t - x0) / duration)",
+)
+
+
+@query("red_noise_snr", with_views("lc cands", RED_NOISE, **RED_STEPS))
 def red_noise_snr(spark, d):
     cands = V.cands(spark, d).withColumn("n_transits", F.lit(3))
     return H.red_noise_snr(V.lc(spark, d), cands).withColumn("snr", r("snr", 5))
 
 
+@query("red_noise_of_every_signal", with_views("lc signals", RED_NOISE, cands=V.EVERY_SIGNAL, **RED_STEPS))
+def red_noise_of_every_signal(spark, d):
+    cands = V.every_signal(spark, d).withColumn("n_transits", F.lit(3))
+    return H.red_noise_snr(V.lc(spark, d), cands).withColumn("snr", r("snr", 5))
+
+
 @query("folded_brightening", with_views("lc cands", """
 SELECT cand_id, round(max(CASE WHEN j = 0 THEN -sg END), 6) AS dip,
   round(max(CASE WHEN j * s >= reach AND j * s <= period - reach THEN sg END), 6) AS bright

@@ -69,6 +69,13 @@ def noise_properties(spark, d):
     return noise.select("cand_id", r("sigma").alias("sigma"), r("beta", 6).alias("beta"))
 
 
+@query("noise_of_every_signal", with_views("lc signals", "SELECT cand_id, round(sigma, 9) AS sigma, round(beta, 6) AS beta FROM noise", cands=V.EVERY_SIGNAL, **NOISE))
+def noise_of_every_signal(spark, d):
+    lc = V.lc(spark, d)
+    noise = T.noise_properties(lc, V.every_signal(spark, d), A.curve_stats(lc))
+    return noise.select("cand_id", r("sigma").alias("sigma"), r("beta", 6).alias("beta"))
+
+
 @query("transit_coverage", with_views("lc cands", """
 SELECT cand_id, epoch, round(tc, 9) AS tc, round(inside, 6) AS inside, round(before, 6) AS before, round(after, 6) AS after FROM cov""",
     cad=CADENCE, nr=NEAR, cov=COVERAGE))

@@ -133,6 +133,13 @@ def cands(spark: SparkSession, folder: str) -> DataFrame:
     return base.unionByName(listed.select(*base.columns))
 
 
+def every_signal(spark: SparkSession, folder: str) -> DataFrame:
+    """Every catalog candidate as a candidate of a light curve: star numbers fold onto the five curves."""
+    return signals(spark, folder).withColumn("tic_id", F.col("tic_id") % 5).select(
+        "cand_id", "tic_id", "period", "t0", "duration", "depth"
+    )
+
+
 def dumps(spark: SparkSession, folder: str) -> DataFrame:
     from ..sources.cadences import momentum_dumps
 
@@ -140,6 +147,7 @@ def dumps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---- the same views as SQL
+EVERY_SIGNAL = "SELECT cand_id, tic_id % 5 AS tic_id, period, t0, duration, depth FROM signals"
 _US = f"(epoch_us(ts) - {EPOCH_US})"
 SQL_VIEWS = {
     "cadences": f"""
