@@ -240,77 +240,6 @@ def sine_power(t: np.ndarray, y: np.ndarray, freq: np.ndarray) -> tuple[np.ndarr
     return power, amplitude
 
 
-def range_best(order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Largest value of ``order`` in each [lo, hi), from maxima over powers of two; -1 if empty."""
-    levels = [order]
-    while 2 ** len(levels) <= len(order):
-        half = 2 ** (len(levels) - 1)
-        levels.append(np.maximum(levels[-1][:-half], levels[-1][half:]))
-    size = np.maximum(hi - lo, 0)
-    level = np.where(size > 0, np.frexp(np.maximum(size, 1))[1] - 1, -1)
-    out = np.full(len(lo), -1, order.dtype)
-    for k, maxima in enumerate(levels):
-        at = np.flatnonzero(level == k)
-        out[at] = np.maximum(maxima[lo[at]], maxima[hi[at] - 2**k])
-    return out
-
-
-def separated(period: np.ndarray, score: np.ndarray, reach: float = 0.01) -> np.ndarray:
-    """Places of the periods that stay when each stronger one drops those within ``reach`` of it.
-
-    By rounds: whatever no stronger undecided period reaches stays, and drops what it reaches.
-    ``period`` ascends; of equal scores the longer period is the stronger.
-    """
-    todo = np.arange(period.size)
-    kept: list[np.ndarray] = []
-    while todo.size:
-        p = period[todo]
-        strength = np.empty(todo.size, np.int64)
-        strength[np.argsort(score[todo], kind="stable")] = np.arange(todo.size)
-        lo, hi = np.searchsorted(p, p / (1 + reach), "right"), np.searchsorted(p, p / (1 - reach), "left")
-        stays = range_best(strength, lo, hi) == strength
-        kept.append(todo[stays])
-        winners = p[stays]
-        beside = np.searchsorted(winners, p)
-        gone = np.zeros(todo.size, bool)
-        for neighbor in (np.maximum(beside - 1, 0), np.minimum(beside, winners.size - 1)):
-            gone |= np.abs(p - winners[neighbor]) < reach * winners[neighbor]
-        todo = todo[~gone & ~stays]
-    return np.sort(np.concatenate(kept)) if kept else todo
-
-
-def family_best(period: np.ndarray, power: np.ndarray, at: np.ndarray, tol: float = 0.003) -> np.ndarray:
-    """For each place in ``at``, that of the strongest of P/3, P/2, P, 2P, 3P; others need 1.2 times P's power."""
-    strength = np.empty(period.size, np.int64)
-    order = np.argsort(power, kind="stable")
-    strength[order] = np.arange(period.size)
-    best = at.copy()
-    for multiple in (1 / 3, 1 / 2, 2.0, 3.0):
-        want = period[at] * multiple
-        found = range_best(
-            strength, np.searchsorted(period, want * (1 - tol)), np.searchsorted(period, want * (1 + tol))
-        )
-        member = order[np.maximum(found, 0)]
-        better = (found >= 0) & (power[member] > 1.2 * power[at]) & (power[member] > power[best])
-        best = np.where(better, member, best)
-    return best
-
-
-def peaks_in_order(
-    period: np.ndarray, power: np.ndarray, sde: np.ndarray, eligible: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """(peak, its family's best member), by falling score: separated peaks, each family once."""
-    usable = np.flatnonzero(eligible)
-    top = usable[separated(period[usable], sde[usable])]
-    best = family_best(period, power, top)
-    rank = np.lexsort((period[best], sde[top]))
-    by_period = np.lexsort((np.argsort(rank), period[best]))
-    score = np.argsort(rank)[by_period].astype(float)
-    once = by_period[separated(period[best][by_period], score)]
-    once = once[np.argsort(-sde[top[once]], kind="stable")]
-    return top[once], best[once]
-
-
 def trapezoid_shape(x: np.ndarray, total: np.ndarray, ingress: np.ndarray) -> np.ndarray:
     """Unit-depth trapezoid at distances ``x`` from its middle."""
     half = 0.5 * total

@@ -7,6 +7,7 @@ the chunks' own summaries.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 from itertools import count
 
@@ -247,42 +248,112 @@ def local_maxima(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
     return rows.where((F.col(value) > F.col("_l")) & (F.col(value) >= F.col("_r"))).drop("_l", "_r")
 
 
-def suppress(
-    df: DataFrame, keys: Sequence[str], at: str, reach: Column, score: str, limit: int | None = None
-) -> DataFrame:
-    """Keep the strongest row, drop weaker ones within the longer of the two reaches, repeat.
+#: Rows of one block of a suppression round, about; blocks widen by rounds but not beyond this.
+SETTLE_ROWS = 1 << 18
+_STATES = "_id long, _x double, _at double, _own double, _give double, _s double, _tie double, _wide double, _kept boolean"
 
-    Rows farther apart than the key's longest reach never meet, so each run of nearby rows
-    is settled on its own. The rows are events on a time grid, whose number a target's
-    baseline bounds. ``limit`` keeps only that many of each run's strongest (enough when the
-    caller wants no more per key).
-    """
-    rows = df.withColumn("_reach", reach.cast("double"))
-    order = Window.partitionBy(*keys).orderBy(at)
-    longest = F.max("_reach").over(Window.partitionBy(*keys))
-    rows = rows.withColumn("_longest", longest)
-    fresh = F.coalesce((F.col(at) - F.lag(at).over(order) >= F.col("_longest")), F.lit(True))
-    rows = rows.withColumn("_fresh", fresh.cast("int")).withColumn(
-        "_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    entry = F.struct(
-        (-F.col(score)).alias("_rank"), F.col(at).cast("double").alias("_at"), "_reach",
-        F.struct(*df.columns).alias("_row"),
-    )
-    runs = rows.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(entry)).alias("_todo"))
 
-    def clashes(kept: Column, x: Column) -> Column:
-        return F.exists(
-            kept,
-            lambda k: F.abs(k["_at"] - x["_at"]) < F.greatest(k["_reach"], x["_reach"]),
-        )
+def _settle(pdf: pd.DataFrame) -> np.ndarray:
+    """What one block can decide: 1 stays, -1 goes, 0 hangs on rows beyond the block.
 
-    def full(kept: Column) -> Column:
-        return F.lit(False) if limit is None else F.size(kept) >= limit
+    In order of strength: a row near a stronger one that stays goes; one that could meet a stronger
+    undecided row, here or beyond the block's ends, waits.
+    """
+    at, own, give = (pdf[c].tolist() for c in ("_at", "_own", "_give"))
+    inside = ((pdf["_x"] - pdf["_wide"] >= pdf["_low"]) & (pdf["_x"] + pdf["_wide"] < pdf["_high"])).tolist()
+    out = np.zeros(len(at), np.int8)
+    longest = max(max(own), max(give))
+    lists: tuple[list, list] = ([], [])  # places and rows of those that stay, of those that wait
+
+    def meets(found: list, i: int) -> bool:
+        a = at[i]
+        for k in range(bisect_left(found, (a,)), len(found)):
+            b, j = found[k]
+            if b - a > longest:
+                break
+            if b - a < max(own[j], give[i]):
+                return True
+        for k in range(bisect_left(found, (a,)) - 1, -1, -1):
+            b, j = found[k]
+            if a - b > longest:
+                break
+            if a - b < max(own[j], give[i]):
+                return True
+        return False
+
+    stay, wait = lists
+    for i in np.flatnonzero(pdf["_kept"].to_numpy()).tolist():
+        insort(stay, (at[i], i))
+        out[i] = 1
+    order = np.lexsort((pdf["_id"], pdf["_tie"], -pdf["_s"].to_numpy()))
+    for i in order.tolist():
+        if out[i]:
+            continue
+        if meets(stay, i):
+            out[i] = -1
+        elif not inside[i] or meets(wait, i):
+            insort(wait, (at[i], i))
+        else:
+            insort(stay, (at[i], i))
+            out[i] = 1
+    return out
+
+
+def keep_apart(
+    df: DataFrame, keys: Sequence[str], at: Column, own: Column, give: Column, score: Column, tie: Column,
+    axis: Column | None = None, wide: Column | None = None,
+) -> DataFrame:
+    """Greedy suppression by rounds: the strongest row stays and drops what it reaches, and so on.
 
-    kept = F.aggregate(
-        "_todo",
-        F.slice("_todo", 1, 0),
-        lambda kept, x: F.when(full(kept) | clashes(kept, x), kept).otherwise(F.concat(kept, F.array(x))),
+    A row drops those nearer than its ``own`` reach, or than their ``give``; equal scores go by the
+    smaller ``tie``. Every round cuts the undecided rows of a key into blocks along ``axis`` (``at``
+    unless given; no row meets another more than ``wide`` away on it). A block decides all that doesn't
+    hang on rows beyond its ends; the next round's blocks lie across those ends and are twice as wide.
+    Rows that are settled and reach no undecided one leave the loop. So no task holds a key's rows.
+    """
+    at = at.cast("double")
+    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumns({
+        "_at": at, "_x": (at if axis is None else axis).cast("double"), "_own": own.cast("double"), "_give": give.cast("double"),
+        "_s": score.cast("double"), "_tie": tie.cast("double"),
+    })
+    reach = F.greatest("_own", "_give") if wide is None else wide
+    rows = materialize(rows.withColumn("_reach", reach.cast("double")), "apart")
+    longest = rows.groupBy(*keys).agg(
+        F.max("_reach").alias("_wide"), F.count(F.lit(1)).alias("_rows"), (F.max("_x") - F.min("_x")).alias("_span")
     )
-    return runs.select(F.explode(kept).alias("_k")).select("_k._row.*")
+    # blocks of a bounded number of rows on average, at least eight reaches wide
+    share = F.col("_span") * 4096 / F.col("_rows")
+    cap = F.col("_span") * SETTLE_ROWS / F.col("_rows")
+    sizes = longest.select(*keys, "_wide", F.greatest(8 * F.col("_wide"), share, F.lit(1e-12)).alias("_block"),
+                           F.greatest(8 * F.col("_wide"), cap, F.lit(1e-12)).alias("_cap"))
+    parts = ["_id", "_x", "_at", "_own", "_give", "_s", "_tie"]
+    todo = rows.select(*keys, *parts).join(sizes, list(keys)).withColumn("_kept", F.lit(False))
+    kept, round_ = None, 0
+    schema = ", ".join([*[f"`{k}` {dict(df.dtypes)[k]}" for k in keys], _STATES, "_block double, _cap double, _state byte"])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.drop(columns=["_number", "_low", "_high"]).assign(_state=_settle(pdf))
+
+    while True:
+        width = F.least(F.col("_block") * 2.0**round_, F.col("_cap"))
+        shift = 0.5 if round_ % 2 else 0.0
+        blocks = todo.withColumn("_number", F.floor(F.col("_x") / width + shift))
+        blocks = blocks.withColumns({"_low": (F.col("_number") - shift) * width, "_high": (F.col("_number") + 1 - shift) * width})
+        done = materialize(spread(blocks, *keys, "_number").groupBy(*keys, "_number").applyInPandas(settle, schema), f"apart-{round_}")
+        new = done.where("_state = 1 AND NOT _kept").select("_id")
+        kept = new if kept is None else kept.union(new)
+        open_ = done.where("_state = 0")
+        if open_.isEmpty():
+            break
+        # those that stay and may still drop somebody go on: they lie within a reach of an open row
+        line = open_.select(*keys, F.explode(F.sequence(*[F.floor(F.col("_x") / F.col("_wide")) + i for i in (-1, 1)])).alias("_near")).distinct()
+        staying = done.where("_state = 1").withColumn("_near", F.floor(F.col("_x") / F.col("_wide")))
+        staying = staying.join(line, [*keys, "_near"], "left_semi").drop("_near").withColumn("_kept", F.lit(True))
+        todo = open_.unionByName(staying).drop("_state")
+        round_ += 1
+    return rows.join(kept, "_id", "left_semi").select(*df.columns)
+
+
+def suppress(df: DataFrame, keys: Sequence[str], at: str, reach: Column, score: str) -> DataFrame:
+    """Keep the strongest row, drop weaker ones within the longer of the two reaches, repeat."""
+    return keep_apart(df, keys, F.col(at), reach, reach, F.col(score), F.col(at))

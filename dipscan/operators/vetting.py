@@ -376,7 +376,7 @@ def phase_scan(lc: DataFrame, cands: DataFrame, noise: DataFrame) -> DataFrame:
 
 def top_phase_dips(scan: DataFrame, count: int = 5) -> DataFrame:
     """The strongest dips of each scan that lie a duration apart: with ``place`` from 1."""
-    apart = suppress(scan, ["cand_id"], "centre", F.col("duration"), "snr", count)
+    apart = suppress(scan, ["cand_id"], "centre", F.col("duration"), "snr")
     order = Window.partitionBy("cand_id").orderBy(F.desc("snr"), "centre")
     return apart.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
 

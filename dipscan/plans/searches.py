@@ -197,7 +197,26 @@ def harmonic_family(spark, d):
     return H.harmonic_family(peaks, spec)
 
 
-@query("peak_examination")
+def _greedy(rows: str, period: str) -> str:
+    """Recursive SQL: the first of each star's list (by ``rk``) stays and drops those within a percent of it."""
+    return f"""SELECT tic_id, unnest(kept) AS rk FROM (WITH RECURSIVE g AS (
+      SELECT tic_id, list({{'rk': rk, 'p': {period}}} ORDER BY rk) AS todo, []::BIGINT[] AS kept FROM {rows} GROUP BY tic_id
+      UNION ALL SELECT tic_id, list_filter(todo[2:], lambda x: NOT abs(x.p - todo[1].p) < 0.01D * todo[1].p), list_append(kept, todo[1].rk)
+      FROM g WHERE len(todo) > 0)
+      SELECT tic_id, kept FROM g WHERE len(todo) = 0)"""
+
+
+@query("peak_examination", with_views("signals", """
+SELECT tic_id, CAST(row_number() OVER (PARTITION BY tic_id ORDER BY sde DESC, period, top_period) AS INTEGER) AS rank, top_period, period
+FROM fam JOIN once USING (tic_id, rk)""",
+    elig="SELECT tic_id, period, snr AS power, sde, row_number() OVER (PARTITION BY tic_id ORDER BY sde DESC, period DESC) AS rk FROM signals WHERE n_transits >= 2",
+    first=_greedy("elig", "period"),
+    tops="SELECT tic_id, period, any_value(power) AS power, any_value(sde) AS sde FROM elig JOIN first USING (tic_id, rk) GROUP BY 1, 2",
+    best="""SELECT p.tic_id, p.period, max({'a': s.snr, 'b': s.period}) AS m FROM tops p CROSS JOIN (SELECT unnest([3.0D, 2.0D, 0.5D, 1.0D / 3.0D]) AS ratio) JOIN signals s
+      ON s.tic_id = p.tic_id AND s.period >= p.period / ratio * (1.0D - 0.003D) AND s.period < p.period / ratio * (1.0D + 0.003D) AND s.snr > 1.2D * p.power GROUP BY 1, 2""",
+    fam="""SELECT tic_id, tops.period AS top_period, coalesce(m.b, tops.period) AS period, sde,
+      row_number() OVER (PARTITION BY tic_id ORDER BY sde DESC, coalesce(m.b, tops.period) DESC, tops.period DESC) AS rk FROM tops LEFT JOIN best USING (tic_id, period)""",
+    once=_greedy("fam", "period")))
 def peak_examination(spark, d):
     """Every star's candidates taken as its spectrum, in the order they deserve a look."""
     rows = V.signals(spark, d).select("tic_id", "period", "t0", "duration", "depth", F.col("snr").alias("power"), "sde",

@@ -79,26 +79,3 @@ def test_shift_fit_recovers_a_late_dip():
     shift, err = K.fit_shift(dt, f, np.full(dt.size, 1e8), 0.1, 0.01, 0.2)
     assert shift == pytest.approx(0.007, abs=1e-4)
     assert err > 0
-
-
-def test_peaks_are_ranked_once_per_family():
-    period = np.sort(np.concatenate([np.linspace(1, 12, 2000), [3.0, 6.0]]))
-    power = np.full(period.size, 1.0)
-    sde = np.zeros(period.size)
-    i, j = np.searchsorted(period, [3.0, 6.0])
-    power[i], power[j], sde[i], sde[j] = 10.0, 20.0, 9.0, 8.0
-    top, best = K.peaks_in_order(period, power, sde, np.ones(period.size, bool))
-    assert (top[0], best[0]) == (i, j)  # the family's best member has clearly more power
-    assert j not in best[1:]
-    assert len(best) > 100 and (np.diff(sde[top]) <= 0).all()  # no limit on peaks
-
-
-def test_separated_periods_are_those_of_the_one_by_one_rule():
-    rng = np.random.default_rng(4)
-    period = np.sort(np.exp(rng.uniform(0, 2, 700)))
-    score = rng.integers(0, 60, 700).astype(float)
-    kept: list[int] = []
-    for i in sorted(range(700), key=lambda i: (-score[i], -i)):
-        if all(abs(period[i] - period[k]) >= 0.01 * period[k] for k in kept):
-            kept.append(i)
-    assert K.separated(period, score).tolist() == sorted(kept)
