@@ -52,8 +52,8 @@ def numbered(rows: DataFrame, key: str = "tic_id", *sums: str) -> DataFrame:
     )
 
 
-def time_cells(rows: DataFrame, info: DataFrame, key: str = "tic_id") -> DataFrame:
-    """``key``, ``cell``, ``before`` (rows in earlier cells), ``ts`` (the cell's own times, sorted).
+def time_cells(rows: DataFrame, info: DataFrame, key: str = "tic_id", times: bool = True) -> DataFrame:
+    """``key``, ``cell``, ``before`` (rows in earlier cells) and, with ``times``, ``ts`` (the cell's own times, sorted).
 
     ``info``: key, t_min, t_max, width. Every cell from t_min to one past t_max is there, empty
     ones too; totals run inside days' worth of cells and are carried across.
@@ -61,20 +61,21 @@ def time_cells(rows: DataFrame, info: DataFrame, key: str = "tic_id") -> DataFra
     block = F.floor(F.col("cell") / 1024)
     cell = F.floor((F.col("t") - F.col("t_min")) / F.col("width")).cast("long")
     own = rows.select(key, "t").join(info, key).groupBy(key, cell.alias("cell")).agg(
-        F.sort_array(F.collect_list("t")).alias("ts")
+        F.count(F.lit(1)).alias("_c"), *([F.sort_array(F.collect_list("t")).alias("ts")] if times else [])
     )
     last = F.floor((F.col("t_max") - F.col("t_min")) / F.col("width")).cast("long") + 1
     line = info.select(key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("cell"))
     cells = line.join(own, [key, "cell"], "left").select(
-        key, "cell", block.alias("_block"), F.coalesce("ts", F.array().cast("array<double>")).alias("ts")
+        key, "cell", block.alias("_block"), F.coalesce("_c", F.lit(0)).alias("_c"),
+        *([F.coalesce("ts", F.array().cast("array<double>")).alias("ts")] if times else []),
     )
     inside = Window.partitionBy(key, "_block").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cells.groupBy(key, "_block").agg(F.sum(F.size("ts")).alias("_n"))
+    totals = cells.groupBy(key, "_block").agg(F.sum("_c").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_from"))
-    size = F.coalesce(F.sum(F.size("ts")).over(inside), F.lit(0))
+    size = F.coalesce(F.sum("_c").over(inside), F.lit(0))
     return cells.withColumn("_in", size).join(carried, [key, "_block"]).select(
-        key, "cell", (F.col("_from") + F.col("_in")).alias("before"), "ts"
+        key, "cell", (F.col("_from") + F.col("_in")).alias("before"), *(["ts"] if times else [])
     )
 
 

@@ -8,7 +8,6 @@ out-of-dip noise meets whole curves, and its medians are the open-group ones.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,14 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import R_JUP, R_SUN, VetConfig
-from ..functions.expr import finite, fold, max_planet_occultation, mod_floor
+from ..functions.expr import finite, fold, max_planet_occultation
 from ..functions.special import chi2_sf, log_ndtr, ndtri_exp
 from ..session import materialize, spread
 from .joins import dip_rows, drop_near, epochs, near
 from .kernels import fit_shift, fit_trapezoid
 from .quiet import QuietCurves
 from .sequence import segments, suppress
-from .stats import MAD_SCALE, bin_rows, binned_rms, groups_fit, medians, quantiles, robust_std
+from .stats import MAD_SCALE, bin_rows, medians, quantiles
+from .timesums import TimeSums, in_cycle
 
 PASS, WARN, FAIL, NA = "pass", "warn", "fail", "n/a"
 MEDIAN_ERROR = 1.2533  # error of a median over that of a mean
@@ -350,22 +350,37 @@ def half_phase_dip(
 def phase_scan(lc: DataFrame, cands: DataFrame, noise: DataFrame) -> DataFrame:
     """Box dips at every quarter duration of phase: cand_id, k, centre (days), depth, snr.
 
-    A row takes part in the (at most twelve) boxes it lies in or flanks.
+    A box is the difference of running sums at its four edges in every cycle, so a candidate costs
+    its baseline over a quarter of its duration, not its rows.
     """
     info = cands.select("cand_id", "tic_id", "period", "t0", "duration")
     p, d = F.col("period"), F.col("duration")
     step = F.greatest(d / 4.0, p / 2000.0)
     count = F.ceil((p - 4.0 * d) / step)
     info = info.withColumns({"_step": step, "_count": count}).where(F.col("_count") > 0)
-    rows = lc.select("tic_id", "t", "flux").join(info, "tic_id")
-    rows = rows.withColumn("_u", mod_floor(F.col("t") - F.col("t0"), p))
-    rows = rows.where(F.least(F.col("_u"), p - F.col("_u")) > 1.5 * d)
-    first = F.greatest(F.ceil((F.col("_u") - 3.5 * d) / F.col("_step")), F.lit(0))
-    last = F.least(F.floor((F.col("_u") - 0.5 * d) / F.col("_step")), F.col("_count") - 1)
-    rows = rows.withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last))))
-    rows = rows.withColumn("dt", F.col("_u") - (2.0 * d + F.col("k") * F.col("_step")))
-    rows = rows.where(F.abs("dt") < 1.5 * d)
-    sums = box_sums(rows, ["cand_id", "k", "duration", "_step"]).join(noise, "cand_id")
+    sums = TimeSums(lc, s=F.col("flux") - 1.0)  # a depth doesn't see the level
+    edges = sums.cycles(info).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
+    edges = edges.withColumn("_c", 2.0 * d + F.col("k") * F.col("_step")).withColumn("_edge", F.explode(F.array(*map(F.lit, range(4)))))
+    c, edge = F.col("_c"), F.col("_edge")
+    from_start = (
+        F.when(edge == 0, F.greatest(c - 1.5 * d, 1.5 * d)).when(edge == 1, c - 0.5 * d).when(edge == 2, c + 0.5 * d)
+        .otherwise(F.least(c + 1.5 * d, p - 1.5 * d))
+    )
+
+    def below(t: Column) -> Column:
+        u = in_cycle(t)
+        return (
+            F.when(edge == 0, (u - c <= -1.5 * d) | (u <= 1.5 * d)).when(edge == 1, u - c <= -0.5 * d)
+            .when(edge == 2, u - c < 0.5 * d).otherwise((u - c < 1.5 * d) & (p - u > 1.5 * d))
+        )
+
+    found = sums.below(edges, F.col("t0") + F.col("e") * p + from_start, below)
+    sign_in = F.when(edge == 1, -1).when(edge == 2, 1).otherwise(0)
+    sign_out = F.when(edge % 2 == 0, -1).otherwise(1)
+    sums = found.groupBy("cand_id", "k", "duration", "_step").agg(
+        F.sum(sign_in * F.col("n")).alias("n_in"), F.sum(sign_out * F.col("n")).alias("n_out"),
+        F.sum(sign_in * F.col("s")).alias("s_in"), F.sum(sign_out * F.col("s")).alias("s_out"),
+    ).join(noise, "cand_id")
     depth, err = _box_depth(F.col("sigma") * F.col("beta"))
     out = sums.select(
         "cand_id", "k", "duration", (2.0 * d + F.col("k") * F.col("_step")).alias("centre"),
@@ -390,8 +405,10 @@ def secondary_eclipse_test(
     """
     names = [c for c in ("rp_rs", "a_rs", "teff") if c in cands.columns]
     half = half_phase_dip(lc, cands, curves, noise)
-    tops = top_phase_dips(phase_scan(lc, cands, noise))
-    # the strongest dips again, orbit by orbit, without the primary's surroundings
+    # every dip of the scan that counts, a duration apart
+    tops = suppress(phase_scan(lc, cands, noise), ["cand_id"], "centre", F.col("duration"), "snr")
+    tops = tops.where(F.col("snr") >= config.secondary_scan_sigma).withColumnRenamed("k", "place")
+    # these dips again, orbit by orbit, without the primary's surroundings
     places = cands.join(tops.select("cand_id", "place", "centre", "snr", F.col("depth").alias("scan_d")), "cand_id")
     moved = places.withColumn("_primary", F.col("t0")).withColumn("t0", F.col("t0") + F.col("centre"))
     hit = dip_rows(lc.select("tic_id", "t", "flux"), moved, curves, 1.5).where(

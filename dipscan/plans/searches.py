@@ -140,9 +140,10 @@ def top_dip_per_target(spark, d):
     return best.select("tic_id", "b.*")
 
 
-@query("eligible_trials", with_views("lc cands", """
+ELIGIBLE = """
 SELECT cand_id AS k, tic_id, period <= safe OR coalesce(n, 0) >= 2 AS eligible
-FROM cands JOIN info USING (tic_id) LEFT JOIN hits USING (tic_id, cand_id)""",
+FROM cands JOIN info USING (tic_id) LEFT JOIN hits USING (tic_id, cand_id)"""
+ELIGIBLE_STEPS = dict(
     cad=CADENCE, ext=EXTENT,
     info="""SELECT tic_id, t_min, t_max, cadence, (baseline - dmax) / 2.0D AS safe FROM ext JOIN cad USING (tic_id)
       JOIN (SELECT tic_id, max(duration) AS dmax FROM cands GROUP BY 1) USING (tic_id)""",
@@ -153,13 +154,24 @@ FROM cands JOIN info USING (tic_id) LEFT JOIN hits USING (tic_id, cand_id)""",
         FROM cands JOIN info USING (tic_id)))""",
     hits="""SELECT tic_id, cand_id, count(*) FILTER (c >= 0.5D * duration / cadence) AS n FROM (
       SELECT s.tic_id, cand_id, duration, cadence, s.lo, s.hi, coalesce(sum(c), 0) AS c FROM spots s
-      LEFT JOIN cells ON cells.tic_id = s.tic_id AND cell >= lo AND cell < hi GROUP BY ALL) GROUP BY 1, 2"""))
+      LEFT JOIN cells ON cells.tic_id = s.tic_id AND cell >= lo AND cell < hi GROUP BY ALL) GROUP BY 1, 2""",
+)
+
+
+@query("eligible_trials", with_views("lc cands", ELIGIBLE, **ELIGIBLE_STEPS))
 def eligible_trials(spark, d):
     lc = V.lc(spark, d)
     trials = V.cands(spark, d).select("tic_id", F.lit(0).alias("band"), F.col("cand_id").alias("k"), "period", "t0", "duration")
     return H.eligible_trials(lc, trials, A.curve_stats(lc), max_gap=5.0).select("tic_id", "k", "eligible")
 
 
+@query("eligible_of_every_signal", with_views("lc signals", ELIGIBLE, cands=V.EVERY_SIGNAL, **ELIGIBLE_STEPS))
+def eligible_of_every_signal(spark, d):
+    lc = V.lc(spark, d)
+    trials = V.every_signal(spark, d).select("tic_id", F.lit(0).alias("band"), F.col("cand_id").alias("k"), "period", "t0", "duration")
+    return H.eligible_trials(lc, trials, A.curve_stats(lc), max_gap=5.0).select("tic_id", "k", "eligible")
+
+
 @query("sde_spectrum", with_views("signals", """
 SELECT cand_id, tic_id, round((resid - m) / CASE WHEN s > 0 THEN s ELSE 1.0D END, 6) AS sde FROM (
   SELECT *, avg(CASE WHEN ref OR n < 10 THEN resid END) OVER (PARTITION BY tic_id) AS m,
