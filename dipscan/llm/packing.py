@@ -27,7 +27,9 @@ A very long text: whole windows, cut in one pass. Empty table: empty result. Onl
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,6 +44,10 @@ from dipscan.llm import text as X
 from dipscan.session import materialize, wide_partitions
 
 
+#: Characters whose class may differ between two libraries' Unicode versions.
+_UNSETTLED = re.compile("[^\x00-\u024f]")
+
+
 @dataclass(frozen=True)
 class Packing:
     tokenizer: str  # the JSON file
@@ -83,13 +89,12 @@ def token_ids(text: str | None, cfg: Packing) -> np.ndarray:
     """The ids of ``text`` and the closing one."""
     exact, fast, names = _encoders(cfg.tokenizer, cfg.ranks, cfg.pattern)
     text = text or ""
-    plain = text.isascii() or max(map(ord, set(text))) < 0x250
-    if plain and not any(name in text for name in names):
-        ids = fast.encode_ordinary(text)
-    else:
+    if _UNSETTLED.search(text) or any(name in text for name in names):
         ids = exact.encode(text, add_special_tokens=False).ids
+    else:
+        ids = fast.encode_ordinary(text)
     ids.append(cfg.close)
-    return np.array(ids, np.uint32)
+    return np.frombuffer(array("I", ids), np.uint32)
 
 
 _PIECE = pa.schema([
@@ -161,8 +166,12 @@ def _counted(kind: str, size: int):
 def _heaviest(ids: np.ndarray, offs: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Each piece's term of the greatest frequency times rarity (ties: the smallest id)."""
     piece, term, tf = _terms(ids, offs, len(idf))
-    order = np.lexsort((term, -tf * idf[term], piece))
-    return term[order][np.flatnonzero(np.r_[True, np.diff(piece[order]) != 0])] if len(piece) else term
+    if not len(piece):
+        return term
+    weight = tf * idf[term]
+    start = np.flatnonzero(np.r_[True, np.diff(piece) != 0])
+    top = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, start), np.diff(np.r_[start, len(piece)])))
+    return term[top[np.r_[True, np.diff(piece[top]) != 0]]]
 
 
 def _leading(kind: str, idf: np.ndarray):
@@ -218,12 +227,13 @@ class Shard:
         self.of = np.searchsorted(piece, np.arange(len(pieces) + 1))
         self.term = term
         order = np.argsort(term, kind="stable")
-        self.posting, self.weight = piece[order], weight[order].astype(np.float32)
+        self.posting, self.weight = piece[order], weight[order]
         sorted_term = term[order]
         self.start = np.searchsorted(sorted_term, term)
         self.stop = np.searchsorted(sorted_term, term, "right")
         self.useful = idf[term] > 0
         self.unused = np.ones(len(pieces), bool)
+        self.size = n
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused pieces with a score, best first."""
@@ -249,6 +259,7 @@ def windows(shard: Shard, cfg: Packing, last: bool) -> Iterator[list]:
         def take(i: int, n: int, window=window):
             doc, start, ids, total = shard.pieces[i]
             window.append((doc, start, ids[:n], total))
+            shard.size[i] -= n
             if n == len(ids):
                 shard.unused[i] = False
             else:
@@ -256,15 +267,18 @@ def windows(shard: Shard, cfg: Packing, last: bool) -> Iterator[list]:
             return n
 
         room -= take(seed, min(room, len(shard.pieces[seed][2])))
-        near = shard.neighbours(seed) if room else []
-        for i in near:
-            if len(shard.pieces[i][2]) <= room:
-                room -= take(i, len(shard.pieces[i][2]))
+        near = shard.neighbours(seed) if room else np.zeros(0, np.int64)
+        at = 0
+        while room:  # the next one by score that fits
+            fits = np.flatnonzero(shard.size[near[at:]] <= room)
+            if not len(fits):
+                break
+            at += int(fits[0]) + 1
+            room -= take(near[at - 1], int(shard.size[near[at - 1]]))
+        for i in near[shard.unused[near]] if room else []:  # a cut of the best one left fills the gap
+            room -= take(i, min(room, int(shard.size[i])))
             if not room:
                 break
-        for i in near:  # a cut fills the gap
-            if room and shard.unused[i]:
-                room -= take(i, min(room, len(shard.pieces[i][2])))
         at = seed
         while room and left - (cfg.window - room) > 0:  # nobody is alike: the next unused ones
             at += 1
