@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +14,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that nothing refers to any more.
-
-    It does so when the driver collects its garbage, which may be long after a large step's end.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def boxed(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct column ``_doc``, so that no name of theirs meets one of an operator's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))

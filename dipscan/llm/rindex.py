@@ -1,11 +1,14 @@
 """Exact removal of repeated 50-byte strings, with a run-length Burrows-Wheeler index per bucket.
 
-Every 50-byte window has an anchor: the leftmost 12-byte string of least hash in it. Neighboring
-windows with one anchor form a segment (at most 39 windows, 88 bytes), dealt to a bucket by the
+Every 50-byte window has an anchor: the leftmost 8-byte string of least hash in it. Neighboring
+windows with one anchor form a segment (at most 43 windows, 92 bytes), dealt to a bucket by the
 anchor's hash; so equal windows, wherever they stand, meet in one bucket. Buckets grow in number
 with the input, not in size.
 
-In a bucket, segments that agree with another document's on 31 bytes around the anchor are kept:
+Texts that are equal as a whole need no index: all but the one with the smallest id go entirely, and
+only that one is cut into segments. Equality is that of a 256-bit hash, as for the result's own.
+
+In a bucket, segments that agree with another document's on 29 bytes around the anchor are kept:
 two that share a window do. Equal segments are one string with its smallest document. Strings that
 share anchor contexts with other strings go into an index: their suffixes are sorted, the BWT is
 kept as runs with the LF value of each run's head, and each class of rows that agree on 50 bytes
@@ -30,14 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipscan.llm import text as X
-from dipscan.llm.common import release
 from dipscan.session import materialize
 
 
 @dataclass(frozen=True)
 class Index:
     window: int = 50
-    anchor: int = 12
+    anchor: int = 8
     bucket_bytes: int = 4 << 20  # of text, per bucket
     flush_bytes: int = 8 << 20  # of text, packed at once
 
@@ -318,6 +320,7 @@ def _cut(texts: pa.Array, begins: pa.Array, ends: pa.Array, keep: bool) -> pa.Ar
         spans, gone = 0, 0
         if a.is_valid:
             first, last = a.values.to_numpy(), b.values.to_numpy()
+            last = np.minimum(last, len(body))
             order = np.argsort(first)
             first, last = first[order], np.maximum.accumulate(last[order])
             fresh = np.r_[True, first[1:] > last[:-1]]
@@ -345,21 +348,42 @@ def deduplicated(docs: DataFrame, cfg: Index = Index(), keep: bool = True) -> Da
         rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-int(size) // cfg.bucket_bytes))
-    gone = _spans(rows, n_buckets, cfg)
-    release(rows.sparkSession)  # the segments' shuffle, three times the input
+    long = f"doc_id IS NOT NULL AND octet_length(text) >= {cfg.window}"
+    whole = rows.where(long).select("row", "doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"))
+    whole = materialize(whole, "hashes")
+    shared = whole.groupBy("h").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most")
+    copies = materialize(whole.join(shared, "h").where("doc_id > _least").select("row"), "copies")
+    gone = _spans(rows.where(long).join(copies, "row", "left_anti") if not copies.isEmpty() else rows.where(long), n_buckets, cfg)
+    gone = gone.unionByName(copies.select(
+        "row", F.array(F.lit(0).cast("long")).alias("begins"), F.array(F.lit(2**62).cast("long")).alias("ends")
+    ))
 
     @F.arrow_udf(_KEPT)
     def cut(texts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
-        return _cut(texts, begins, ends, keep)
+        return _cut(_opened(texts), begins, ends, keep)
 
-    out = rows.join(gone, "row", "left").select("doc_id", cut("text", "begins", "ends").alias("x"))
+    # texts meet their spans in compressed form
+    small = rows.select("doc_id", "row", "text").mapInArrow(_closed, "doc_id long, row long, text binary")
+    out = small.join(gone, "row", "left").select("doc_id", cut("text", "begins", "ends").alias("x"))
     columns = ["x.n_bytes", "x.n_removed", "x.n_spans", "x.kept_sha256"] + ["x.kept"] * keep
     return out.select("doc_id", *columns)
 
 
+def _closed(batches):
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [squeeze.compress(t.as_buffer()) if t.is_valid else None for t in batch.column(2).cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "row", "text"])
+
+
+def _opened(texts: pa.Array) -> pa.Array:
+    widen = zstandard.ZstdDecompressor()
+    return pa.array([widen.decompress(t.as_buffer()) if t.is_valid else None for t in texts], pa.large_binary())
+
+
 def _spans(rows: DataFrame, n_buckets: int, cfg: Index) -> DataFrame:
     """(row, begins, ends) of the spans to remove, written."""
-    packed = rows.where("doc_id IS NOT NULL AND octet_length(text) >= %d" % cfg.window).select("row", "doc_id", "text")
+    packed = rows.select("row", "doc_id", "text")
     packed = packed.mapInArrow(_pack(cfg, n_buckets), "bucket int, payload binary")
     spans = (
         packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
