@@ -11,8 +11,10 @@ members, the following ones ever larger shares of what has not been a hub, until
 two components that have unmet members. As links merge components, few members are left by then.
 
 Defined cases. Null or wordless text: empty set, linked with nothing. Null ``doc_id``: component
-null, kept. Repeated rows: same class, each row is returned. Empty table: empty result. Extra
-columns are ignored.
+null, kept, linked with nothing. Rows that share an id: each text has its own class. Repeated rows:
+same class, each row is returned; ``deduplicated`` keeps one of them. Ties: a group goes by its
+smallest id, and of several texts of that id the one of least hash stays. A very long text is read
+whole, in slices of a megabyte. Empty table: empty result. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -71,14 +73,14 @@ def _signatures(cfg: Bands):
     n_samples = cfg.bands * cfg.rows
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-        ("bands", pa.list_(pa.int64())),
+        ("bands", pa.list_(pa.int64())), ("version", pa.int64()),
     ])
 
     def run(batches):
         salt = X.stream(13, cfg.bands + 1)
         weight = X.stream(14, cfg.rows) | np.uint64(1)
         for batch in batches:
-            ids = batch.column(0)
+            ids, versions = batch.column(0), batch.column(2)
             for i, j, values, offs in _documents(batch, cfg.words):
                 n = np.diff(offs)
                 sums = np.zeros((2, len(values) + 1), np.uint64)
@@ -96,12 +98,13 @@ def _signatures(cfg: Bands):
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(i, j - i), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
                     X.lists(keys.reshape(-1).view(np.int64), np.r_[0, np.cumsum((n > 0) * cfg.bands)]),
+                    versions.slice(i, j - i),
                 ], schema=schema)
 
     return run
 
 
-_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, version long"
 
 
 def _sets(cfg: Bands):
@@ -152,13 +155,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: Bands) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _grouped(docs, cfg).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, cfg: Bands) -> DataFrame:
+    """doc_id, version (the text's hash), n_shingles, component_id, kept of every row.
+
+    A node is a class of equal sets, numbered; an id may stand for several texts.
+    """
+    two = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("version"),
+    )
     sig = materialize(two.mapInArrow(_signatures(cfg), _SIGNATURE), "signatures")
     same = ["h1", "h2", "n_shingles"]
-    classes = sig.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node"))
-    members = sig.where("n_shingles > 0").join(classes, same)
+    named = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = named.groupBy(*same).agg(F.min(F.struct("doc_id", "version")).alias("rep"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "numbers")
+    members = named.join(classes.select(*same, "node", F.col("rep.doc_id").alias("first")), same)
+    reps = classes.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.version").alias("version"))
     reps = materialize(
-        members.where("doc_id = node").dropDuplicates(same).select("node", "bands"), "classes"
+        reps.join(named.select("doc_id", "version", "bands"), ["doc_id", "version"])
+        .dropDuplicates(["node"]).select("node", "doc_id", "version", "bands"), "classes",
     )
     spread = reps.select("node", F.posexplode("bands")).select("node", F.col("pos").alias("band"), F.col("col").alias("bucket"))
     hubs = (
@@ -166,12 +184,13 @@ def near_duplicates(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
         .where("hub < top").select("bucket", "hub")
     )
     rows = materialize(spread.join(hubs, "bucket"), "buckets")  # (bucket, node, band, hub)
-    nodes = rows.select("node").distinct()
-    sets = materialize(
-        two.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        .select("doc_id", "text").mapInArrow(_sets(cfg), "node long, members array<long>, sketch array<long>"),
-        "sets",
-    )
+    nodes = reps.select("node", "doc_id", "version").join(rows.select("node").distinct(), "node")
+    texts = two.join(nodes, ["doc_id", "version"]).select("node", "text")
+    sets = texts.mapInArrow(_sets(cfg), "node long, members array<long>, sketch array<long>")
+    if not named.groupBy("doc_id", "version").count().where("count > 1").isEmpty():  # repeated rows
+        sets = sets.dropDuplicates(["node"])
+    sets = materialize(sets, "sets")
+    reps = reps.select("node", "bands")
     sketches = sets.select("node", "sketch")
     first = rows.groupBy("node").agg(F.min("hub").alias("v")).where("v < node").withColumnRenamed("node", "u")
     first = (
@@ -213,19 +232,32 @@ def near_duplicates(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
-    named = (
-        members.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "node").alias("component_id"))
-    )
-    alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = named.union(alone)
-    return out.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    # a group goes by its smallest id
+    group = classes.select("node", F.col("rep.doc_id").alias("first")).join(labels, "node")
+    least = group.groupBy("component_id").agg(F.min("first").alias("_least"))
+    group = group.join(least, "component_id").select("node", "_least")
+    linked = members.join(group, "node", "left").select(
+        "doc_id", "version", "n_shingles", F.coalesce("_least", "first").alias("component_id")
     )
+    alone = sig.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "version", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, cfg: Bands = Bands()) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, and one of each repeated row's copies."""
-    drop = near_duplicates(docs, cfg).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """The rows of ``docs`` that stay: one of each group, told apart by id and text; one of equal such rows."""
+    found = materialize(_grouped(docs, cfg), "groups")
+    # a group's smallest id may stand for several of its texts: one stays
+    texts = found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("component_id", "doc_id").agg(F.min("version").alias("_one"))
+    out = found.join(texts, ["component_id", "doc_id"], "left").where(~F.col("kept") | (F.col("version") != F.col("_one")))
+    drop = out.select(F.col("doc_id").alias("_gid"), F.col("version").alias("_gv")).distinct()
+    version = F.xxhash64(F.col("text").cast("string"))
+    mine = F.col("doc_id").cast("long")
+    stay = docs.join(drop, (mine == F.col("_gid")) & (version == F.col("_gv")), "left_anti")
+    again = found.groupBy("doc_id", "version").count().where("count > 1 AND doc_id IS NOT NULL").drop("count")
+    again = again.select(F.col("doc_id").alias("_gid"), F.col("version").alias("_gv"))
+    if again.isEmpty():
+        return stay
+    on = (mine == F.col("_gid")) & (version == F.col("_gv"))
+    return stay.join(again, on, "left_anti").unionByName(
+        stay.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    )

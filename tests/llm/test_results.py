@@ -286,3 +286,19 @@ def test_words_are_runs_of_other_bytes():
     starts, ends, woffs = text.words(buf, offs)
     got = [[bytes(buf[s:e]).decode() for s, e in zip(starts[a:b], ends[a:b], strict=True)] for a, b in zip(woffs[:-1], woffs[1:], strict=True)]
     assert got == [WORD.findall(t or "") for t in said]
+
+
+def test_minhash_tells_texts_of_one_id_apart(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    b = "red orange yellow green blue indigo violet black white grey brown pink gold silver bronze copper iron steel tin lead"
+    rows = [
+        (1, a, "x"), (3, a + " more", "x"), (3, b, "x"), (3, b, "x"), (4, a, "x"), (5, b + " zinc", "y"), (None, a, "x"), (None, a, "x"),
+        (6, "", "x"), (6, "", "x"), (7, None, "z"), (2, "other words entirely here " + b[::-1], "w"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got[(3, 17, 1, False)] == 1 and got[(3, 16, 3, True)] == 2  # text b is a group of its own
+    assert got[(1, 16, 1, True)] == 1 and got[(4, 16, 1, False)] == 1 and got[(5, 17, 3, False)] == 1
+    assert got[(None, 16, None, True)] == 2 and got[(6, 0, 6, True)] == 2
+    stay = sorted((r.doc_id or 0, r.text or "") for r in minhash.deduplicated(docs).collect())
+    assert stay == sorted([(0, a), (0, a), (1, a), (2, rows[-1][1]), (3, b), (6, ""), (7, "")])
