@@ -1,18 +1,25 @@
 """Line deduplication by pairwise alignment.
 
-A line of five words or more is an anchor. Every anchor that several documents share links each
-holder with its first holder, the one with the smallest id: a rare line and a line held by a third
-of all documents alike give one link per holder, never pairs within the group. For each linked
-pair the anchors (numbered if a line recurs in a document) are aligned as patience diff does: the
-longest run of them that rises in both documents. Aligned anchors, with the equal shorter or blank
-lines around them, are the common blocks; they are deleted from the later document.
+Every line that isn't blank begins an anchor: it, and the lines after it until there are five words or
+40 bytes. So a line of five words is an anchor by itself, and short lines, or lines of a script without
+spaces, are anchors in small windows. Documents meet through anchors, never as pairs within a group:
 
-Every line whose first holder is another document meets it in exactly one pair, so the work is
-linear in shared lines and no pair needs both documents' whole texts.
+* each (anchor, occurrence) links its holders with the first of them, the one with the smallest id,
+  whether the anchor is rare or held by a third of all documents;
+* a rare anchor, with four holders at most, links each of them with all earlier ones;
+* two anchors in a row link their holders with the first document that has both in a row, so a copy
+  also meets its own original where the first holder of the lines has them in another order.
+
+For each linked pair the anchors (numbered if one recurs in a document) are aligned as patience diff
+does: the longest run of them that rises in both documents. Aligned anchors, with the equal blank or
+trailing lines around them, are the common blocks; they are deleted from the later document. Pairs of the
+first kind are aligned on the anchors that link them, the others on all that both hold.
 
 Defined cases. Null or empty text: returned as it is. Null id: neither first holder nor later,
 returned as it is. Repeated rows (same id): no document is later than itself, all are treated
-alike. Ties don't arise: the order is by id. Empty table: empty result. Extra columns pass through.
+alike. Ties: the order is by id; of several texts under a first holder's id the one of least hash
+stands for it. A very long text or line is read whole, in slices of a megabyte where lines allow it.
+Empty table: empty result. Extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -33,14 +40,16 @@ from dipscan.session import materialize
 @dataclass(frozen=True)
 class Lines:
     anchor_words: int = 5
+    anchor_bytes: int = 40
+    rare: int = 4  # holders of a rare anchor at most
 
 
 _ANCHOR = (
-    "doc_id long, version long, pos int, h1 long, h2 long, k int, before array<long>, after array<long>"
+    "doc_id long, version long, pos int, span int, h1 long, h2 long, k int, g1 long, g2 long, before array<long>, after array<long>"
 )
 _SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()),
-    ("h2", pa.int64()), ("k", pa.int32()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())),
+    ("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32()), ("span", pa.int32()), ("h1", pa.int64()),
+    ("h2", pa.int64()), ("k", pa.int32()), ("g1", pa.int64()), ("g2", pa.int64()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())),
 ])
 
 
@@ -70,12 +79,21 @@ def _anchors(cfg: Lines):
                 n_words = np.searchsorted(words, ends) - np.searchsorted(words, starts)
                 h1 = X.span_hashes(part, starts, ends, plain).view(np.int64)
                 h2 = X.span_hashes(part, starts, ends, other).view(np.int64)
-                at = np.flatnonzero(n_words >= cfg.anchor_words)
+                # the line at which each line's window is long enough, if it lies in the same document
+                so_far = np.r_[0, np.cumsum(n_words)]
+                size = np.r_[0, np.cumsum(ends - starts)]
+                until = np.minimum(
+                    np.searchsorted(so_far, so_far[:-1] + cfg.anchor_words), np.searchsorted(size, size[:-1] + cfg.anchor_bytes)
+                ) - 1
+                at = np.flatnonzero((n_words > 0) & (until < loffs[doc + 1]))
                 if not len(at):
                     continue
+                until = until[at]
+                w1 = X.span_hashes(part, starts[at], ends[until], plain).view(np.int64)
+                w2 = X.span_hashes(part, starts[at], ends[until], other).view(np.int64)
                 d = doc[at]
-                order = np.lexsort((at, h1[at], d))
-                fresh = np.r_[True, (np.diff(h1[at][order]) != 0) | (np.diff(d[order]) != 0)]
+                order = np.lexsort((at, w1, d))
+                fresh = np.r_[True, (np.diff(w1[order]) != 0) | (np.diff(d[order]) != 0)]
                 run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
                 k = np.empty(len(at), np.int32)
                 k[order] = np.arange(len(at)) - run_start
@@ -83,9 +101,13 @@ def _anchors(cfg: Lines):
                 previous = np.where(np.r_[-1, d[:-1]] == d, previous + 1, loffs[d])
                 following = np.r_[at[1:], len(doc)]
                 following = np.where(np.r_[d[1:], -1] == d, following, loffs[d + 1])
+                # two anchors in a row; a document's last one stands with nothing
+                last = np.r_[d[1:] != d[:-1], True]
+                pair = [X.mix(w.view(np.uint64) + np.where(last, 0, np.roll(X.mix(w.view(np.uint64)), -1))).view(np.int64) for w in (w1, w2)]
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(d + i)), pa.array(versions[d + i]), pa.array((at - loffs[d]).astype(np.int32)),
-                    pa.array(h1[at]), pa.array(h2[at]), pa.array(k), _spans(h1, previous, at),
+                    pa.array((until - at + 1).astype(np.int32)), pa.array(w1), pa.array(w2), pa.array(k),
+                    *(pa.array(g, mask=last) for g in pair), _spans(h1, previous, at),
                     _spans(h1, at + 1, following),
                 ], schema=_SCHEMA)
 
@@ -118,12 +140,12 @@ def rising(values: list[int]) -> list[int]:
 
 
 def _align(batches):
-    """Per document: its matches with all first holders, as parallel arrays sorted by (holder, pos)."""
+    """Per document: its matches with all partners, as parallel arrays sorted by (partner, pos)."""
     for frame in batches:
         starts, stops = [], []
         for holder, pos, other, back, ahead in zip(
             frame["f"], frame["p"], frame["q"], frame["nb"], frame["na"], strict=True
-        ):
+        ):  # ``ahead``: how many lines go with the anchor's first one
             gone: list[tuple[int, int]] = []
             cut = np.r_[0, np.flatnonzero(np.diff(holder)) + 1, len(holder)]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -152,20 +174,39 @@ def common_blocks(docs: DataFrame, cfg: Lines = Lines()) -> DataFrame:
         F.xxhash64("text").alias("version"),
     ).where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = materialize(three.mapInArrow(_anchors(cfg), _ANCHOR), "anchors")
+    key = ["h1", "h2", "k"]
     first = (
-        lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("last"))
+        lines.groupBy(*key).agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("holders"))
         .where("f < last").drop("last")
     )
-    shared = lines.join(first, ["h1", "h2"])
+    # only these columns and rows are looked at more than once
+    shared = materialize(lines.join(first, key), "shared")
+    side = ["version", F.col("pos").alias("q"), F.col("before").alias("qb"), F.col("after").alias("qa")]
     at_first = (
-        shared.where("doc_id = f").groupBy("h1", "h2", "k")
-        .agg(F.min(F.struct("version", F.col("pos").alias("q"), F.col("before").alias("qb"), F.col("after").alias("qa"))).alias("x"))
-        .select("h1", "h2", "k", "x.q", "x.qb", "x.qa")
+        shared.where("doc_id = f").groupBy(*key).agg(F.min(F.struct(*side)).alias("x")).select(*key, "x.q", "x.qb", "x.qa")
     )
-    met = shared.where("doc_id > f").join(at_first, ["h1", "h2", "k"]).select(
-        "doc_id", "version", "f", "pos", "q",
-        _agreeing(F.reverse("before"), F.reverse("qb")).alias("nb"), _agreeing("after", "qa").alias("na"),
+
+    def matched(rows: DataFrame) -> DataFrame:
+        ahead = F.greatest(_agreeing("after", "qa"), F.col("span") - 1)
+        return rows.select(
+            "doc_id", "version", "f", "pos", "q", _agreeing(F.reverse("before"), F.reverse("qb")).alias("nb"), ahead.alias("na")
+        )
+
+    met = matched(shared.where("doc_id > f").join(at_first, key))
+    # partners beside the first holders: earlier holders of rare anchors, first holders of two in a row
+    rare = shared.where(F.col("holders") <= cfg.rare).select(*key, "doc_id", "f")
+    earlier = rare.where("doc_id > f").select(*key, F.col("doc_id").alias("partner"))
+    rare = rare.join(earlier, key).where("partner < doc_id").select("doc_id", "partner")
+    row = shared.where("g1 IS NOT NULL").select("g1", "g2", "doc_id", "f")
+    both = row.groupBy("g1", "g2").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last")).where("partner < last").drop("last")
+    row = row.join(both, ["g1", "g2"]).where("partner < doc_id AND partner <> f").select("doc_id", "partner")
+    partners = materialize(rare.union(row).distinct(), "partners")
+    mine = shared.select("doc_id", "version", "pos", "span", "before", "after", *key).join(partners, "doc_id")
+    theirs = shared.join(partners.select(F.col("partner").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    theirs = theirs.groupBy("doc_id", *key).agg(F.min(F.struct(*side)).alias("x")).select(
+        F.col("doc_id").alias("partner"), *key, "x.q", "x.qb", "x.qa"
     )
+    met = met.unionByName(matched(mine.join(theirs, ["partner", *key]).withColumnRenamed("partner", "f")))
     # one array per document, no longer than the document has lines (and once per repeated row)
     rows = met.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("f", "pos", "q", "nb", "na"))).alias("m")

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from dipscan.llm import decontaminate, itq, lm, minhash, mixing, quality, registry, rindex, text, toxicity
+from dipscan.llm import decontaminate, itq, line_dedup, lm, minhash, mixing, quality, registry, rindex, text, toxicity
 from dipscan.llm.common import components, table
 from dipscan.llm.line_dedup import rising
 
@@ -40,36 +40,101 @@ def test_matches_sql(spark, name):
     assert mine == sorted(theirs.fetchall(), key=repr)
 
 
-def test_line_alignment(spark, texts):
-    def n_words(line):
-        return len(WORD.findall(line))
+def anchors_of(lines):
+    """{line: its anchor's last line} of a document's lines."""
+    out = {}
+    for p, line in enumerate(lines):
+        if not WORD.search(line):
+            continue
+        words = size = 0
+        for e in range(p, len(lines)):
+            words, size = words + len(WORD.findall(lines[e])), size + len(lines[e].encode())
+            if words >= 5 or size >= 40:
+                out[p] = e
+                break
+    return out
+
 
+def brute_lines(texts):
+    """{doc: lines to delete}, pair by pair."""
     lines = {i: t.split("\n") for i, t in texts.items()}
-    first = {}
+    ends = {i: anchors_of(x) for i, x in lines.items()}
+    keyed, holders, rows = {}, {}, {}
     for i in sorted(lines):
-        for line in lines[i]:
-            if n_words(line) >= 5:
-                first.setdefault(line, i)
-    for r in run(spark, "op2_line_alignment"):
-        mine, gone, pairs, seen = lines[r.doc_id], set(), {}, Counter()
-        for p, line in enumerate(mine):
-            if n_words(line) >= 5 and first[line] < r.doc_id:
-                at = [q for q, x in enumerate(lines[first[line]]) if x == line]
-                if seen[line] < len(at):
-                    pairs.setdefault(first[line], []).append((p, at[seen[line]]))
-                seen[line] += 1
-        for f, met in pairs.items():
+        seen = Counter()
+        for p, e in ends[i].items():
+            anchor = "\n".join(lines[i][p: e + 1])
+            keyed[i, p] = anchor, seen[anchor]
+            seen[anchor] += 1
+            holders.setdefault(keyed[i, p], []).append(i)
+        order = list(ends[i])
+        for a, b in zip(order[:-1], order[1:]):
+            rows.setdefault((keyed[i, a][0], keyed[i, b][0]), []).append(i)
+    where = {i: {keyed[i, p]: p for p in ends[i]} for i in lines}
+    out = {}
+    for i in lines:
+        pairs, partners, gone = {}, set(), set()
+        order = list(ends[i])
+        for n, p in enumerate(order):
+            group = holders[keyed[i, p]]
+            if group[0] < i:
+                pairs.setdefault((0, group[0]), []).append((p, where[group[0]][keyed[i, p]]))
+            if len(group) <= 4:
+                partners |= {j for j in group[1:] if j < i}
+            # a pair of anchors counts where its first one is shared at all
+            if n + 1 < len(order) and len(group) > 1:
+                two = [j for j in rows[keyed[i, p][0], keyed[i, order[n + 1]][0]] if any(
+                    len(holders[keyed[j, q]]) > 1 for q in ends[j] if keyed[j, q][0] == keyed[i, p][0])]
+                if two[0] < i and two[0] != group[0]:
+                    partners.add(two[0])
+        for j in partners:
+            pairs[1, j] = [(p, where[j][keyed[i, p]]) for p in order if keyed[i, p] in where[j]]
+        matches = {}
+        for (_, j), met in pairs.items():
+            matches.setdefault(j, set()).update(met)
+        for j, met in matches.items():
+            met = sorted(met)
             for x in rising([q for _, q in met]):
+                p, q = met[x]
+                gone |= set(range(p, ends[i][p] + 1))
                 for step in (1, -1):
                     p, q = met[x]
-                    gone.add(p)
-                    while 0 <= p + step < len(mine) and 0 <= q + step < len(lines[f]):
+                    while True:
                         p, q = p + step, q + step
-                        if mine[p] != lines[f][q] or n_words(mine[p]) >= 5:
+                        inside = 0 <= p < len(lines[i]) and 0 <= q < len(lines[j])
+                        if not inside or lines[i][p] != lines[j][q] or p in ends[i] or q in ends[j]:
                             break
                         gone.add(p)
-        assert r.text == "\n".join(x for p, x in enumerate(mine) if p not in gone)
-        assert (r.n_lines, r.n_removed) == (len(mine), len(gone))
+        out[i] = gone
+    return out
+
+
+@pytest.mark.parametrize("folder", [FOLDER, LARGER])
+def test_line_alignment(spark, folder):
+    texts = {r.doc_id: r.text for r in table(spark, folder, "documents").collect()}
+    want = brute_lines(texts)
+    for r in run(spark, "op2_line_alignment", folder):
+        mine = texts[r.doc_id].split("\n")
+        assert (r.doc_id, r.n_lines, r.n_removed) == (r.doc_id, len(mine), len(want[r.doc_id]))
+        assert r.text == "\n".join(x for p, x in enumerate(mine) if p not in want[r.doc_id])
+
+
+def test_no_copy_is_left(spark):
+    """Copies whose lines the first holder has in another order, or once only; of short lines; without spaces."""
+    four = [f"this is line number {w} of the four" for w in ("one", "two", "three", "four")]
+    twice = ["a line that comes twice in here", "some other line in between them", "a line that comes twice in here"]
+    short = [f"item {i}" for i in range(200)]
+    script = ["".join(chr(0x4E00 + (7 * i + 3 * j) % 900) for j in range(9)) for i in range(50)]
+    cases = [
+        [four[::-1], four, four], [["a line that comes twice in here"], twice, twice], [short, short], [script, script],
+        [four[::-1], four[:2] + ["x y"] + four[2:], four[:2] + ["x y"] + four[2:]],
+    ]
+    for case in cases:
+        docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(case)], "doc_id long, text string")
+        rows = {r.doc_id: r for r in line_dedup.report(docs).collect()}
+        assert rows[0].n_removed == 0
+        assert rows[len(case) - 1].n_removed == len(case[-1])
+        assert {i: r.n_removed for i, r in rows.items()} == {i: len(x) for i, x in brute_lines({i: "\n".join(x) for i, x in enumerate(case)}).items()}
 
 
 def brute_windows(rows):
