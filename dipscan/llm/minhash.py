@@ -171,7 +171,8 @@ def _grouped(docs: DataFrame, cfg: Bands) -> DataFrame:
     same = ["h1", "h2", "n_shingles"]
     named = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy(*same).agg(F.min(F.struct("doc_id", "version")).alias("rep"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "numbers")
+    # numbered in order of their smallest ids, so that hubs are the earliest documents: originals, mostly
+    classes = materialize(classes.orderBy("rep").withColumn("node", F.monotonically_increasing_id()), "numbers")
     members = named.join(classes.select(*same, "node", F.col("rep.doc_id").alias("first")), same)
     reps = classes.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.version").alias("version"))
     reps = materialize(
