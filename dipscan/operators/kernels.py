@@ -16,6 +16,9 @@ TUNING = {
     "winsorize": 0.1,
 }
 METHODS = (*TUNING, "mean", "median", "hodges")
+#: Orders of the cell moments of values and of plain counts: beyond them, terms of the series are under 1e-9
+#: where a cell is at most half the shortest period (pi/2 and, for twice the frequency, pi to a half cell).
+ORDERS = (16, 22)
 
 
 def centered_median(values: np.ndarray, size: int) -> np.ndarray:
@@ -69,7 +72,7 @@ def _location(
         high = ordered[rows, np.maximum(n - 1 - cut, 0)][:, None]
         return np.where(inside, np.clip(v, low, high), 0.0).sum(axis=1) / np.maximum(n, 1)
     if method == "hodges":
-        return np.array([_hodges(ordered[i, : n[i]]) for i in rows])
+        return _hodges(ordered, n)
     mad = _middle(np.sort(np.where(inside, np.abs(v - med[:, None]), np.inf), axis=1), n)
     if method == "hampelfilt":
         far = np.abs(v - med[:, None]) > c * 1.4826 * mad[:, None]
@@ -99,12 +102,52 @@ def _location(
     return centre
 
 
-def _hodges(x: np.ndarray) -> float:
-    """Median of the means of all pairs (a value with itself included)."""
-    if not x.size:
-        return np.nan
-    i, j = np.triu_indices(x.size)
-    return float(np.median(0.5 * (x[i] + x[j])))
+def _hodges(ordered: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Median of the means of all pairs (a value with itself included) of each row's first ``n``.
+
+    Sums ``x[i] + x[j]``, i <= j, rise along both axes, so the pairs up to a bound are counted by one
+    binary search per ``i``. The bracket around the wanted rank is halved for all rows at once; its ends
+    are always sums of the row, and searches stay within what the bracket leaves of each ``i``.
+    """
+    out = np.full(n.size, np.nan)
+    at = np.flatnonzero(n > 0)
+    place = np.arange(ordered.shape[1])
+
+    def pair(x: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return x + np.take_along_axis(x, np.clip(j, 0, place.size - 1), axis=1)
+
+    x, size = ordered[at], n[at, None]
+    start = np.minimum(place, size)
+    total = (size * (size + 1) // 2)[:, 0]
+    rank = (total + 1) // 2
+    below, above = start.copy(), np.where(place < size, size, start)  # first partner beyond each end
+    high = 2.0 * np.take_along_axis(x, size - 1, axis=1)[:, 0]
+    while at.size:
+        low = np.where(below < above, pair(x, below), np.inf).min(axis=1)
+        done = low >= high
+        if done.any():
+            upto = (above - start)[done].sum(axis=1)
+            beyond = np.where(above[done] < size[done], pair(x[done], above[done]), np.inf).min(axis=1)
+            upper = np.where((total[done] % 2 == 0) & (upto == rank[done]), beyond, high[done])
+            out[at[done]] = 0.25 * (high[done] + upper)
+            left = ~done
+            at, x, size, start, below, above = (a[left] for a in (at, x, size, start, below, above))
+            total, rank, low, high = (a[left] for a in (total, rank, low, high))
+            continue
+        mid = low + 0.5 * (high - low)
+        mid = np.where(mid < high, mid, low)
+        lo, hi = below.copy(), above.copy()
+        while (active := lo < hi).any():
+            j = (lo + hi) >> 1
+            within = pair(x, j) <= mid[:, None]
+            lo = np.where(active & within, j + 1, lo)
+            hi = np.where(active & ~within, j, hi)
+        enough = (lo - start).sum(axis=1) >= rank
+        top = np.where(lo > start, pair(x, lo - 1), -np.inf).max(axis=1)
+        high = np.where(enough, top, high)
+        above = np.where(enough[:, None], lo, above)
+        below = np.where(enough[:, None], below, lo)
+    return out
 
 
 def box_power(
@@ -240,6 +283,42 @@ def sine_power(t: np.ndarray, y: np.ndarray, freq: np.ndarray) -> tuple[np.ndarr
     return power, amplitude
 
 
+def fourier_power(
+    cell: np.ndarray, moments: np.ndarray, plain: np.ndarray, width: float, n_cells: int,
+    freq: tuple[float, float, int], n: float, yy: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`sine_power`, from moments of the rows about the middles of their time cells.
+
+    ``moments[:, k]`` and ``plain[:, k]`` sum y d^k and d^k, d running from -1 to 1 over a cell of
+    ``width``. Within a cell exp(iwt) is its power series, so each order is one FFT over the cells.
+    ``freq``: first, step and number; ``n_cells`` * ``width`` is 1 / step.
+    """
+    first, step, count = freq
+    at, steps = np.arange(count), cell.astype(float)
+
+    def transform(sums: np.ndarray, times: int) -> np.ndarray:
+        """Sum of value exp(2 pi i f t) over all rows at ``times`` each frequency."""
+        f = times * (first + step * at)
+        turn = np.exp(2j * np.pi * ((times * first * width * steps) % 1.0))
+        half, out, factor = 1j * np.pi * f * width, np.zeros(count, complex), np.ones(count, complex)
+        for k in range(sums.shape[1]):
+            grid = np.zeros(n_cells, complex)
+            grid[cell] = sums[:, k] * turn
+            out += factor * (np.fft.ifft(grid) * n_cells)[(times * at) % n_cells]
+            factor = factor * half / (k + 1)
+        return out * np.exp(half)
+
+    q, one, two = transform(moments, 1) / n, transform(plain, 1) / n, transform(plain, 2) / n
+    mc, ms = one.real, one.imag
+    cc, ss = 0.5 * (1 + two.real) - mc * mc, 0.5 * (1 - two.real) - ms * ms
+    cs = 0.5 * two.imag - mc * ms
+    det = cc * ss - cs * cs
+    det = np.where(np.abs(det) > 1e-12, det, np.inf)
+    power = (ss * q.real**2 + cc * q.imag**2 - 2 * cs * q.real * q.imag) / det
+    amplitude = np.hypot(q.real * ss - q.imag * cs, q.imag * cc - q.real * cs) / np.abs(det)
+    return (power / yy if yy > 0 else np.zeros(count)), amplitude
+
+
 def trapezoid_shape(x: np.ndarray, total: np.ndarray, ingress: np.ndarray) -> np.ndarray:
     """Unit-depth trapezoid at distances ``x`` from its middle."""
     half = 0.5 * total

@@ -79,3 +79,47 @@ def test_shift_fit_recovers_a_late_dip():
     shift, err = K.fit_shift(dt, f, np.full(dt.size, 1e8), 0.1, 0.01, 0.2)
     assert shift == pytest.approx(0.007, abs=1e-4)
     assert err > 0
+
+
+@pytest.mark.parametrize("digits", [12, 3, 0])
+def test_hodges_matches_all_pairs(digits):
+    """Also with many ties, empty windows, one value and values around zero."""
+    rng = np.random.default_rng(digits)
+    n = np.r_[0, 1, 2, 3, rng.integers(4, 60, 40)]
+    rows = np.full((n.size, 60), np.inf)
+    for i, k in enumerate(n):
+        rows[i, :k] = np.sort(np.round(rng.standard_normal(k), digits))
+    rows[5, : n[5]] = 0.25
+    got = K._hodges(rows, n)
+    assert np.isnan(got[0])
+    for i, k in enumerate(n[1:], 1):
+        a, b = np.triu_indices(k)
+        assert got[i] == np.median(0.5 * (rows[i, a] + rows[i, b]))
+
+
+def test_hodges_of_a_long_window():
+    x = np.sort(np.random.default_rng(2).standard_normal((3, 1501)), axis=1)
+    got = K._hodges(x, np.full(3, 1501))
+    a, b = np.triu_indices(1501)
+    assert got.tolist() == [np.median(0.5 * (r[a] + r[b])) for r in x]
+
+
+def test_fourier_power_equals_direct_sums():
+    rng = np.random.default_rng(4)
+    t = np.sort(np.r_[rng.uniform(0, 9, 700), rng.uniform(17, 25, 500)])
+    y = 0.01 * np.sin(2 * np.pi * t / 0.11) + 0.004 * rng.standard_normal(t.size)
+    rel, base, shortest = t - t[0], t[-1] - t[0], 0.05
+    n_cells = int(np.ceil(10 * base / (shortest / 2)))
+    width = 10 * base / n_cells
+    cell = np.floor(rel / width).astype(int)
+    d = (rel - (cell + 0.5) * width) / (0.5 * width)
+    cells, back = np.unique(cell, return_inverse=True)
+    yc = y - y.mean()
+    moments = np.stack([np.bincount(back, yc * d**k) for k in range(K.ORDERS[0])], axis=1)
+    plain = np.stack([np.bincount(back, d**k) for k in range(K.ORDERS[1])], axis=1)
+    grid = (1 / 0.6, 1 / (10 * base), 1 + int(round((1 / shortest - 1 / 0.6) * 10 * base)))
+    power, amplitude = K.fourier_power(cells, moments, plain, width, n_cells, grid, t.size, yc.var())
+    slow = K.sine_power(t, y, grid[0] + grid[1] * np.arange(grid[2]))
+    assert np.abs(power - slow[0]).max() < 1e-7
+    assert amplitude == pytest.approx(slow[1], rel=1e-6, abs=1e-9)
+    assert 1 / (grid[0] + grid[1] * power.argmax()) == pytest.approx(0.11, rel=1e-3)
