@@ -26,9 +26,9 @@ from .search import (
     false_alarm_probability,
     red_noise_snr,
     signal_stats,
-    sine_spectrum,
     targeted_power,
     transits_with_data,
+    unbinned_spectrum,
 )
 from .stats import quantiles, robust_std
 
@@ -49,21 +49,31 @@ def amplitude(
     return out.where(F.col("_ss") > 0).drop("_ss")
 
 
-def sector_sines(lc: DataFrame, cands: DataFrame, min_power: float = 0.05) -> DataFrame:
-    """Per target and sector: strongest sinusoid of 0.1 to 15 days, its false-alarm bound, and
-    whether it sits at once, half or twice the candidate's period."""
-    keys = ["tic_id", "sector"]
-    size = lc.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_pop("t").alias("_sd")
-    ).where("n >= 200")
-    rows = lc.join(size.select(*keys), keys, "left_semi")
-    best = sine_spectrum(rows, 0.1, 15.0, keys=keys).groupBy(*keys).agg(
+def _strongest(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: sine_period, power and amplitude_ppm of a spectrum's highest point."""
+    best = spectrum.groupBy(*keys).agg(
         F.max(F.struct("power", (-F.col("freq")).alias("nf"), "amplitude")).alias("b")
     )
-    out = best.join(size, keys).select(
+    return best.select(
         *keys, (-1.0 / F.col("b.nf")).alias("sine_period"), F.col("b.power").alias("power"),
         (F.col("b.amplitude") * 1e6).alias("amplitude_ppm"),
-        false_alarm_probability(F.col("b.power"), F.col("n"), F.lit(10.0), F.col("_sd")).alias("fap"),
+    )
+
+
+def sector_sines(lc: DataFrame, cands: DataFrame, min_power: float = 0.05, min_rows: int = 200) -> DataFrame:
+    """Per target and sector: strongest sinusoid of 0.1 to 15 days in the unbinned rows, its
+    false-alarm bound, and whether it sits at once, half or twice the candidate's period.
+
+    A sector of fewer than ``min_rows`` rows stays as a row with ``enough`` false and no sinusoid.
+    """
+    keys = ["tic_id", "sector"]
+    size = lc.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("t").alias("_sd"))
+    size = size.withColumn("enough", F.col("n") >= min_rows)
+    rows = lc.join(size.where("enough").select(*keys), keys, "left_semi")
+    best = _strongest(unbinned_spectrum(rows, 0.1, 15.0, 5.0, keys), keys)
+    out = size.join(best, keys, "left").select(
+        *keys, "n", "enough", "sine_period", "power", "amplitude_ppm",
+        false_alarm_probability(F.col("power"), F.col("n"), F.lit(10.0), F.col("_sd")).alias("fap"),
     )
     out = out.join(cands.select("tic_id", "period"), "tic_id", "left")
     at = F.lit(False)
@@ -72,6 +82,31 @@ def sector_sines(lc: DataFrame, cands: DataFrame, min_power: float = 0.05) -> Da
     return out.withColumn("matches", F.coalesce(at & (F.col("power") > min_power), F.lit(False)))
 
 
+def short_sines(
+    lc: DataFrame, cands: DataFrame, shortest: float = 0.05, longest: float = 0.6,
+    max_fap: float = 1e-6, tolerance: float = 0.02,
+) -> DataFrame:
+    """Strongest sinusoid of ``shortest`` to ``longest`` days under each candidate, from unbinned rows.
+
+    cand_id, tic_id, n, sine_period, power, amplitude_ppm, fap, ratio (the candidate's period over it) and
+    ``multiple``: the sinusoid is real (``fap`` below ``max_fap``) and the period a multiple of it. The
+    bound counts frequencies up to five times the mean Nyquist frequency. Candidates whose target has
+    no usable rows stay, with nulls and ``multiple`` false.
+    """
+    rows = lc.where(finite(F.col("t"), F.col("flux")))
+    size = rows.groupBy("tic_id").agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_pop("t").alias("_sd"), (F.max("t") - F.min("t")).alias("_b")
+    )
+    best = _strongest(unbinned_spectrum(rows, shortest, longest), ["tic_id"]).join(size, "tic_id")
+    fap = false_alarm_probability(F.col("power"), F.col("n"), 2.5 * F.col("n") / F.col("_b"), F.col("_sd"))
+    best = best.withColumn("fap", fap).drop("_sd", "_b")
+    out = cands.select("cand_id", "tic_id", "period").join(best, "tic_id", "left")
+    out = out.withColumn("ratio", F.col("period") / F.col("sine_period")).drop("period")
+    whole = F.round("ratio")
+    flag = (F.col("fap") < max_fap) & (whole >= 2) & (F.abs(F.col("ratio") - whole) < tolerance)
+    return out.withColumn("multiple", F.coalesce(flag, F.lit(False)))
+
+
 # ---- posterior tables
 PARAMETERS = ("t0", "period", "rp_rs", "ln_a_rs", "b", "q1", "q2", "f0", "ln_jitter")
 

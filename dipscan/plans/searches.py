@@ -476,12 +476,62 @@ def rotation_period(spark, d):
     return H.rotation_period(V.lc(spark, d))
 
 
-@query("sector_periodicity")
+def _sines_sql(keys: str, shortest: float, longest: float, per_peak: float, rows: str) -> dict[str, str]:
+    """Every frequency of every key by direct sums over ``rows``, the strongest (``top``), and what its bound needs."""
+    return {
+        "src": rows,
+        "about": f"SELECT {keys}, min(t) AS t1, max(t) - min(t) AS b, count(*) AS n, stddev_pop(t) AS sd, avg(flux) AS mean FROM src GROUP BY ALL",
+        "grid": f"""SELECT {keys}, k, 1.0D / {longest}D + k / ({per_peak}D * b) AS freq FROM about,
+      LATERAL (SELECT unnest(range(1 + CAST(floor((1.0D / {shortest}D - 1.0D / {longest}D) * {per_peak}D * b + 0.5D) AS BIGINT))) AS k)""",
+        "sums": f"""SELECT {keys}, freq, avg(y * y) AS yy, avg(y * c) AS qc, avg(y * s) AS qs, avg(c * c) - avg(c) * avg(c) AS cc,
+      avg(s * s) - avg(s) * avg(s) AS ss, avg(c * s) - avg(c) * avg(s) AS cs
+      FROM (SELECT {keys}, freq, flux - mean AS y, cos(2 * pi() * freq * (t - t1)) AS c, sin(2 * pi() * freq * (t - t1)) AS s
+        FROM src JOIN about USING ({keys}) JOIN grid USING ({keys})) GROUP BY ALL""",
+        "spectrum": f"SELECT *, (ss * qc * qc + cc * qs * qs - 2 * cs * qc * qs) / (yy * (cc * ss - cs * cs)) AS power FROM sums",
+        "top": f"""SELECT *, 1.0D / freq AS sine_period, sqrt(pow(qc * ss - qs * cs, 2) + pow(qs * cc - qc * cs, 2)) / (cc * ss - cs * cs) * 1e6D AS amplitude_ppm
+      FROM spectrum JOIN about USING ({keys}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY power DESC, freq) = 1""",
+    }
+
+
+#: Bound on the false-alarm probability, {f} being the highest frequency.
+_FAP = """(1.0D - (1.0D - pow(1.0D - power, 0.5D * (n - 3))) * exp(-(1.0D - 0.75D / (n - 1)) * ({f}) * sd * sqrt(4 * pi())
+  * pow(1.0D - power, 0.5D * (n - 4)) * sqrt(0.5D * (n - 1) * power)))"""
+
+
+@query("sector_periodicity", with_views("lc planted", f"""
+SELECT e.tic_id, e.sector, e.n, enough, round(sine_period, 8) AS sine_period, round(power, 7) AS power, round(amplitude_ppm, 3) AS amplitude_ppm,
+  round({_FAP.format(f="10.0D")} + 3.7e-9D, 6) AS fap,
+  coalesce(power > 0.05D AND (abs(period / (sine_period * 0.5D) - 1) < 0.05D OR abs(period / sine_period - 1) < 0.05D OR abs(period / (sine_period * 2.0D) - 1) < 0.05D), false) AS matches
+FROM (SELECT tic_id, sector, count(*) AS n, count(*) >= 200 AS enough FROM lc GROUP BY 1, 2) e
+LEFT JOIN (SELECT * EXCLUDE (n), n FROM top) top ON top.tic_id = e.tic_id AND top.sector = e.sector LEFT JOIN planted ON planted.tic_id = e.tic_id""".replace("(n - ", "(top.n - "),
+    **_sines_sql("tic_id, sector", 0.1, 15.0, 5.0, "SELECT * FROM lc WHERE (tic_id, sector) IN (SELECT (tic_id, sector) FROM lc GROUP BY tic_id, sector HAVING count(*) >= 200)")))
 def sector_periodicity(spark, d):
     """Strongest sinusoid of every sector, with its false-alarm bound and nearby multiples."""
     from ..operators.studies import sector_sines
 
-    return sector_sines(V.lc(spark, d), V.planted(spark, d))
+    out = sector_sines(V.lc(spark, d), V.planted(spark, d))
+    return out.select(
+        "tic_id", "sector", "n", "enough", r("sine_period", 8).alias("sine_period"), r("power", 7).alias("power"),
+        r("amplitude_ppm", 3).alias("amplitude_ppm"), r(F.col("fap") + 3.7e-9, 6).alias("fap"), "matches",
+    )
+
+
+@query("short_sinusoids", with_views("lc signals", f"""
+SELECT cand_id, c.tic_id, n, round(sine_period, 8) AS sine_period, round(power, 7) AS power, round(amplitude_ppm, 3) AS amplitude_ppm,
+  round(fap + 3.7e-9D, 6) AS fap, round(period / sine_period, 6) AS ratio,
+  coalesce(fap < 1e-6D AND round(period / sine_period) >= 2 AND abs(period / sine_period - round(period / sine_period)) < 0.02D, false) AS multiple
+FROM ({V.EVERY_SIGNAL}) c LEFT JOIN (SELECT *, {_FAP.format(f="2.5D * n / b")} AS fap FROM top) top ON top.tic_id = c.tic_id""",
+    **_sines_sql("tic_id", 0.05, 0.6, 10.0, "SELECT * FROM lc")))
+def short_sinusoids(spark, d):
+    """Strongest sinusoid of 0.05 to 0.6 days under every signal, and whether the signal is a multiple of it."""
+    from ..operators.studies import short_sines
+
+    out = short_sines(V.lc(spark, d), V.every_signal(spark, d))
+    return out.select(
+        "cand_id", "tic_id", "n", r("sine_period", 8).alias("sine_period"), r("power", 7).alias("power"),
+        r("amplitude_ppm", 3).alias("amplitude_ppm"), r(F.col("fap") + 3.7e-9, 6).alias("fap"), r("ratio", 6).alias("ratio"),
+        "multiple",
+    )
 
 
 # ---- whole searches
