@@ -369,24 +369,36 @@ def fit_trapezoid(
     return {"tc": p[0], "fit_depth": p[1], "t14": p[2], "ingress_fraction": p[3], "ingress_err": err}
 
 
-def fit_shift(
-    dt: np.ndarray, f: np.ndarray, w: np.ndarray, duration: float, depth: float, ingress: float
-) -> tuple[float, float]:
-    """Shift of a fixed trapezoid (with a free level) that fits best, and its error (or NaN)."""
+def fit_shifts(
+    dt: np.ndarray, f: np.ndarray, w: np.ndarray, ends: np.ndarray,
+    duration: np.ndarray, depth: np.ndarray, ingress: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per dip the shift of its fixed trapezoid (with a free level) that fits best, and its error (or NaN).
+
+    Rows of dip i are those up to ``ends[i]``; every trial shift is tried on all dips at once.
+    """
+    starts = np.r_[0, ends[:-1]]
+    n = ends - starts
+    dip = np.repeat(np.arange(n.size), n)
+    shape = [x[dip] for x in (duration, ingress, depth)]
 
     def chi2(shift: np.ndarray) -> np.ndarray:
-        m = 1.0 - depth * trapezoid_shape(dt - shift[:, None], duration, ingress)
-        level = (w * f * m).sum(axis=1) / (w * m * m).sum(axis=1)
-        return (w * (f - level[:, None] * m) ** 2).sum(axis=1)
+        m = 1.0 - shape[2] * trapezoid_shape(dt - shift[dip], shape[0], shape[1])
+        level = np.add.reduceat(w * f * m, starts) / np.add.reduceat(w * m * m, starts)
+        return np.add.reduceat(w * (f - level[dip] * m) ** 2, starts)
 
-    centre, reach = 0.0, 0.5 * duration
+    centre, reach = np.zeros(n.size), 0.5 * duration
     for _ in range(4):
-        grid = np.clip(np.linspace(centre - reach, centre + reach, 81), -duration / 2, duration / 2)
-        cost = chi2(grid)
-        centre, reach = float(grid[cost.argmin()]), reach / 20
+        best, cost = centre, np.full(n.size, np.inf)
+        for step in np.linspace(-1.0, 1.0, 81):
+            trial = np.clip(centre + step * reach, -0.5 * duration, 0.5 * duration)
+            now = chi2(trial)
+            best, cost = np.where(now < cost, trial, best), np.minimum(now, cost)
+        centre, reach = best, reach / 20
     h = duration / 200
-    left, middle, right = chi2(np.array([centre - h, centre, centre + h]))
+    left, middle, right = chi2(centre - h), chi2(centre), chi2(centre + h)
     curvature = (left - 2 * middle + right) / h**2
-    if curvature <= 0 or dt.size < 10:
-        return centre, np.nan
-    return centre, float(np.sqrt(2 / curvature) * np.sqrt(max(1.0, middle / (dt.size - 2))))
+    usable = (curvature > 0) & (n >= 10)
+    spread = np.sqrt(np.maximum(1.0, middle / np.maximum(n - 2, 1)))
+    return centre, np.where(usable, np.sqrt(2 / np.where(usable, curvature, 1.0)) * spread, np.nan)
+

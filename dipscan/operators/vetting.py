@@ -8,7 +8,7 @@ out-of-dip noise meets whole curves, and its medians are the open-group ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import R_JUP, R_SUN, VetConfig
-from ..functions.expr import finite, fold, max_planet_occultation
+from ..functions.expr import finite, fold, max_planet_occultation, trapezoid
 from ..functions.special import chi2_sf, log_ndtr, ndtri_exp
 from ..session import materialize, spread
 from .joins import dip_rows, drop_near, epochs, near
-from .kernels import fit_shift, fit_trapezoid
+from .kernels import fit_shifts, fit_trapezoid
 from .quiet import QuietCurves
 from .sequence import segments, suppress
 from .stats import MAD_SCALE, bin_rows, medians, quantiles
@@ -200,14 +200,27 @@ def without_transits(planet_rows: DataFrame, dropped: DataFrame) -> DataFrame:
 def odd_even_test(
     lc: DataFrame, cands: DataFrame, curves: DataFrame, noise: DataFrame, config: VetConfig
 ) -> DataFrame:
-    """Compare the depths of odd and even cycles, each dip against its own surroundings."""
+    """Compare the depths of odd and even cycles, each dip against its own surroundings.
+
+    A depth is the least-squares amplitude of the dip's shape: the trapezoid of ``fit_duration`` and
+    ``fit_ingress`` where ``cands`` has both and they are not null, else a box. The closed form needs four
+    sums a dip, so dips combine in each task before they are shuffled.
+    """
     rows = lc.select("tic_id", "t", "flux")
+    shaped = {"fit_duration", "fit_ingress"} <= set(cands.columns)
     hit = dip_rows(rows, cands, curves, 1.5)
     inside = F.abs("dt") < 0.5 * F.col("duration")
-    hit = hit.withColumn("_s", F.when(inside, 1.0).otherwise(0.0))
-    flank = F.when(F.col("_s") == 0, F.col("flux"))
+    shape = F.when(inside, 1.0).otherwise(0.0)
+    if shaped:
+        fitted = finite(F.col("fit_duration"), F.col("fit_ingress")) & (F.col("fit_duration") > 0)
+        slope = 1.0 - trapezoid(F.col("dt"), F.lit(1.0), F.col("fit_duration"), F.col("fit_ingress"))
+        shape = F.when(F.coalesce(fitted, F.lit(False)), slope).otherwise(shape)
+    hit = hit.withColumn("_s", shape)
+    flank = F.when(F.col("_s") <= 1e-6, F.col("flux"))
     per = hit.groupBy("cand_id", "epoch").agg(
-        F.sum("_s").alias("_core"),
+        F.count_if(F.col("_s") > 0.5).alias("_core"),
+        F.sum("_s").alias("_s1"),
+        F.sum(F.col("_s") * F.col("_s")).alias("_ss"),
         F.count(flank).alias("_n_flank"),
         F.percentile(flank, F.lit(0.5)).alias("_flank"),
         F.sum(F.col("_s") * F.col("flux")).alias("_sf"),
@@ -233,14 +246,14 @@ def odd_even_test(
             "_parity": F.pmod("epoch", F.lit(2)),
         }
     )
-    per = per.withColumn("_sy", F.col("_level") * F.col("_core") - F.col("_sf"))
-    single = F.when(F.col("_core") >= 3, F.col("_sy") / F.col("_core"))
+    per = per.withColumn("_sy", F.col("_level") * F.col("_s1") - F.col("_sf"))
+    single = F.when(F.col("_core") >= 3, F.col("_sy") / F.col("_ss"))
     per = per.withColumn("_single", single)
     sums = per.groupBy("cand_id", "_parity").agg(
-        F.sum("_core").alias("_ss"),
-        (F.sum("_sy") / F.sum("_core")).alias("depth"),
+        F.sum("_ss").alias("_ss"),
+        (F.sum("_sy") / F.sum("_ss")).alias("depth"),
         F.count_if(F.col("_core") > 0).alias("n"),
-        F.sum(F.col("_core") * F.col("_core") * F.col("_var")).alias("_lv"),
+        F.sum(F.col("_s1") * F.col("_s1") * F.col("_var")).alias("_lv"),
         F.count("_single").alias("n_single"),
         F.percentile("_single", F.lit(0.5)).alias("_mid"),
         F.max(noise_row).alias("_noise"),
@@ -769,18 +782,26 @@ def transit_times(
         "cand_id", "epoch", "time", "dt", "flux", "flux_err", "duration", "depth", "ingress_fraction"
     )
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        w = 1.0 / pdf["flux_err"].to_numpy() ** 2
-        shift, err = fit_shift(pdf["dt"].to_numpy(), pdf["flux"].to_numpy(), w, one["duration"],
-                               one["depth"], one["ingress_fraction"])
-        return pd.DataFrame(
-            {"cand_id": [int(one["cand_id"])], "epoch": [int(one["epoch"])],
-             "tc": [one["time"] + shift], "err": [err]}
-        )
-
     keys = ["cand_id", "epoch"]
-    out = spread(hit, *keys).groupBy(*keys).applyInPandas(measure, _TIMES)
+    # a dip's rows (three durations of a curve) are one array; many dips are fitted together
+    dips = hit.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("time", "duration", "depth", "ingress_fraction")],
+        F.collect_list(F.struct("dt", "flux", "flux_err")).alias("_r"),
+    ).select("*", F.col("_r.dt").alias("dt"), F.col("_r.flux").alias("flux"), F.col("_r.flux_err").alias("flux_err")).drop("_r")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            flat = {c: np.concatenate([np.asarray(x, float) for x in pdf[c]]) for c in ("dt", "flux", "flux_err")}
+            ends = np.cumsum([len(x) for x in pdf["dt"]])
+            shift, err = fit_shifts(
+                flat["dt"], flat["flux"], 1.0 / flat["flux_err"] ** 2, ends,
+                *[pdf[c].to_numpy(float) for c in ("duration", "depth", "ingress_fraction")],
+            )
+            yield pd.DataFrame({"cand_id": pdf["cand_id"], "epoch": pdf["epoch"], "tc": pdf["time"] + shift, "err": err})
+
+    out = spread(dips, *keys).mapInPandas(measure, _TIMES)
     return out.where(finite(F.col("err")))
 
 

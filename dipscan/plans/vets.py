@@ -115,7 +115,7 @@ def bad_transits(spark, d):
     return out.select("cand_id", "epoch", r("deviation", 5).alias("deviation"))
 
 
-@query("odd_even_test", with_views("lc cands", """
+ODD_EVEN = """
 SELECT cand_id, CASE WHEN stat IS NULL THEN 'n/a' WHEN stat > 3.0D THEN 'fail' ELSE 'pass' END AS status, round(stat, 5) AS statistic,
   round(od + 3.7e-9D, 8) AS odd_depth, round(ed + 3.7e-9D, 8) AS even_depth, round(oe, 8) AS odd_err, round(ee, 8) AS even_err
 FROM (SELECT *, CASE WHEN least(coalesce(o_n, 0), coalesce(e_n, 0)) >= 1 AND oe IS NOT NULL AND ee IS NOT NULL THEN abs(od - ed) / sqrt(oe * oe + ee * ee) END AS stat
@@ -123,24 +123,50 @@ FROM (SELECT *, CASE WHEN least(coalesce(o_n, 0), coalesce(e_n, 0)) >= 1 AND oe
       greatest(o.err, CASE WHEN least(coalesce(o.ns, 0), coalesce(e.ns, 0)) >= 3 THEN scatter / sqrt(o.ns) ELSE 0.0D END) AS oe,
       greatest(e.err, CASE WHEN least(coalesce(o.ns, 0), coalesce(e.ns, 0)) >= 3 THEN scatter / sqrt(e.ns) ELSE 0.0D END) AS ee
     FROM cands LEFT JOIN (SELECT * FROM par WHERE parity = 1) o USING (cand_id) LEFT JOIN (SELECT * FROM par WHERE parity = 0) e USING (cand_id)
-    LEFT JOIN (SELECT cand_id, 1.4826D * median(abs(single - mid)) AS scatter FROM single JOIN par USING (cand_id, parity) WHERE single IS NOT NULL GROUP BY 1) USING (cand_id)))""",
-    **NOISE,
-    n15="SELECT *, CASE WHEN abs(dt) < 0.5D * duration THEN 1.0D ELSE 0.0D END AS s FROM (SELECT * EXCLUDE (dt), t - (t0 + epoch * period) AS dt FROM nr) WHERE abs(dt) < 1.5D * duration",
-    base="SELECT cand_id, median(flux) AS base FROM nr WHERE abs(dt) >= 1.5D * duration GROUP BY 1",
-    ep="""SELECT cand_id, epoch, ((epoch % 2) + 2) % 2 AS parity, core, CASE WHEN nf >= 5 THEN fl ELSE coalesce(base, 1.0D) END * core - sf AS sy,
+    LEFT JOIN (SELECT cand_id, 1.4826D * median(abs(single - mid)) AS scatter FROM single JOIN par USING (cand_id, parity) WHERE single IS NOT NULL GROUP BY 1) USING (cand_id)))"""
+
+
+def _odd_even_sql(shape: str) -> dict[str, str]:
+    """Sums, levels and depths per dip and parity for a dip of that ``shape`` (unit depth)."""
+    return dict(
+        n15=f"SELECT *, {shape} AS s FROM (SELECT * EXCLUDE (dt), t - (t0 + epoch * period) AS dt FROM nr) WHERE abs(dt) < 1.5D * duration",
+        base="SELECT cand_id, median(flux) AS base FROM nr WHERE abs(dt) >= 1.5D * duration GROUP BY 1",
+        ep="""SELECT cand_id, epoch, ((epoch % 2) + 2) % 2 AS parity, core, s1, ss, CASE WHEN nf >= 5 THEN fl ELSE coalesce(base, 1.0D) END * s1 - sf AS sy,
       CASE WHEN nf >= 5 THEN pow(1.2533D * sigma * beta, 2) / nf ELSE 0.0D END AS var, sigma * beta AS noise_row
-      FROM (SELECT cand_id, epoch, sum(s) AS core, sum(s * flux) AS sf, count(*) FILTER (s = 0) AS nf, median(flux) FILTER (s = 0) AS fl FROM n15 GROUP BY 1, 2)
+      FROM (SELECT cand_id, epoch, count(*) FILTER (s > 0.5D) AS core, sum(s) AS s1, sum(s * s) AS ss, sum(s * flux) AS sf,
+        count(*) FILTER (s <= 1e-6D) AS nf, median(flux) FILTER (s <= 1e-6D) AS fl FROM n15 GROUP BY 1, 2)
       LEFT JOIN base USING (cand_id) JOIN noise USING (cand_id)""",
-    single="SELECT *, CASE WHEN core >= 3 THEN sy / core END AS single FROM ep",
-    par="""SELECT cand_id, parity, CASE WHEN sum(core) > 0 THEN sum(sy) / sum(core) END AS depth, count(*) FILTER (core > 0) AS n, count(single) AS ns, median(single) AS mid,
-      CASE WHEN sum(core) > 0 THEN sqrt(max(noise_row) * max(noise_row) / sum(core) + sum(core * core * var) / pow(sum(core), 2)) END AS err FROM single GROUP BY 1, 2"""))
-def odd_even_test(spark, d):
-    out = T.odd_even_test(*with_noise(spark, d), CFG)
+        single="SELECT *, CASE WHEN core >= 3 THEN sy / ss END AS single FROM ep",
+        par="""SELECT cand_id, parity, CASE WHEN sum(ss) > 0 THEN sum(sy) / sum(ss) END AS depth, count(*) FILTER (core > 0) AS n, count(single) AS ns, median(single) AS mid,
+      CASE WHEN sum(ss) > 0 THEN sqrt(max(noise_row) * max(noise_row) / sum(ss) + sum(s1 * s1 * var) / pow(sum(ss), 2)) END AS err FROM single GROUP BY 1, 2""",
+    )
+
+
+def _odd_even_columns(out):
     return out.select("cand_id", "status", r("statistic", 5).alias("statistic"),
                       *[r(F.col(c) + 3.7e-9, 8).alias(c) for c in ("odd_depth", "even_depth")],
                       *[r(c, 8).alias(c) for c in ("odd_err", "even_err")])
 
 
+_BOX = "CASE WHEN abs(dt) < 0.5D * duration THEN 1.0D ELSE 0.0D END"
+#: Shapes as a fit would leave them: none for every fifth candidate, else from a tenth to seven tenths in ingress.
+_FIT = ("duration * (0.8D + CAST(cand_id % 3 AS DOUBLE) / 10.0D)", "CASE WHEN cand_id % 5 > 0 THEN 0.1D + CAST(cand_id % 4 AS DOUBLE) / 5.0D END")
+
+
+@query("odd_even_test", with_views("lc cands", ODD_EVEN, **NOISE, **_odd_even_sql(_BOX)))
+def odd_even_test(spark, d):
+    return _odd_even_columns(T.odd_even_test(*with_noise(spark, d), CFG))
+
+
+@query("odd_even_fitted", with_views("lc cands", ODD_EVEN, **NOISE, **_odd_even_sql(
+    f"CASE WHEN cand_id % 5 > 0 THEN greatest(0.0D, least(1.0D, (0.5D * {_FIT[0]} - abs(dt)) / (0.5D * ({_FIT[1]}) * {_FIT[0]}))) ELSE {_BOX} END")))
+def odd_even_fitted(spark, d):
+    """Odd and even depths as amplitudes of each candidate's fitted trapezoid, a box where there is none."""
+    lc, cands, curves, noise = with_noise(spark, d)
+    shaped = cands.withColumns({"fit_duration": F.expr(_FIT[0]), "fit_ingress": F.expr(_FIT[1])})
+    return _odd_even_columns(T.odd_even_test(lc, shaped, curves, noise, CFG))
+
+
 HALF = dict(
     hr=f"SELECT * FROM (SELECT *, t - (t0 + 0.5D * period + orbit * period) AS off FROM (SELECT nr.*, CAST(round_even((t - t0 - 0.5D * period) / period, 0) AS BIGINT) AS orbit FROM nr)) WHERE abs(off) < 1.5D * duration",
     orb="""SELECT cand_id, orbit, count(*) FILTER (abs(off) < 0.5D * duration) AS n_in, count(*) FILTER (NOT abs(off) < 0.5D * duration) AS n_out,

@@ -76,7 +76,8 @@ def test_trapezoid_fit_recovers_its_shape():
 def test_shift_fit_recovers_a_late_dip():
     dt = np.linspace(-0.15, 0.15, 200)
     f = 1 - 0.01 * K.trapezoid_shape(dt - 0.007, 0.1, 0.2)
-    shift, err = K.fit_shift(dt, f, np.full(dt.size, 1e8), 0.1, 0.01, 0.2)
+    one = [np.array([x]) for x in (dt.size, 0.1, 0.01, 0.2)]
+    (shift,), (err,) = K.fit_shifts(dt, f, np.full(dt.size, 1e8), *one)
     assert shift == pytest.approx(0.007, abs=1e-4)
     assert err > 0
 
@@ -123,3 +124,27 @@ def test_fourier_power_equals_direct_sums():
     assert np.abs(power - slow[0]).max() < 1e-7
     assert amplitude == pytest.approx(slow[1], rel=1e-6, abs=1e-9)
     assert 1 / (grid[0] + grid[1] * power.argmax()) == pytest.approx(0.11, rel=1e-3)
+
+
+def test_shifts_of_many_dips_match_a_fine_grid():
+    rng = np.random.default_rng(6)
+    n, true = np.array([60, 5, 90, 40]), np.array([0.021, 0.0, -0.034, 0.008])
+    duration, depth, ingress = np.array([0.2, 0.2, 0.3, 0.1]), np.full(4, 0.01), np.array([0.3, 0.3, 0.6, 0.2])
+    dt = [np.sort(rng.uniform(-1.5, 1.5, k)) * d for k, d in zip(n, duration, strict=True)]
+    f = [
+        1 - d * K.trapezoid_shape(x - s, w, i) + 3e-4 * rng.standard_normal(x.size)
+        for x, s, w, d, i in zip(dt, true, duration, depth, ingress, strict=True)
+    ]
+    weight = np.full(n.sum(), 1 / 3e-4**2)
+    got, err = K.fit_shifts(np.concatenate(dt), np.concatenate(f), weight, np.cumsum(n), duration, depth, ingress)
+    assert np.isnan(err[1]) and np.isfinite(err[[0, 2, 3]]).all()
+    for k in (0, 2, 3):
+        def cost(shift, k=k):
+            m = 1 - depth[k] * K.trapezoid_shape(dt[k] - shift, duration[k], ingress[k])
+            level = (f[k] * m).sum() / (m * m).sum()
+            return ((f[k] - level * m) ** 2).sum()
+
+        fine = np.linspace(-duration[k] / 2, duration[k] / 2, 20001)
+        best = min(map(cost, fine))
+        assert cost(got[k]) <= best * (1 + 1e-6)
+        assert abs(got[k] - true[k]) < 5 * err[k]
