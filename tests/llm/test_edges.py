@@ -36,7 +36,7 @@ PER_ROW = {
     "index": lambda s, d: rindex.deduplicated(d),
     "toxic": lambda s, d: toxicity.scored(d, labels(s)),
     "quality": lambda s, d: quality.scored(d, labels(s), SMALL),
-    "lm": lambda s, d: lm.scored(d, lm.Bilinear(words=8, draws=100, frequent=20)),
+    "lm": lambda s, d: lm.scored(d, lm.Bilinear(vocabulary=2.0, frequent=20)),
     "minhash": lambda s, d: minhash.near_duplicates(d),
 }
 

@@ -187,12 +187,42 @@ def test_language_model(spark, texts):
 
 def test_language_model_is_normalised():
     rng = np.random.default_rng(2)
-    cfg = lm.Bilinear(draws=1000, passes=1)
-    code = rng.integers(0, 7 * 8 * 8, 300)
-    code = code[code % 8 < 7]
-    before, earlier, bias, norm = lm.fit(code, np.ones(len(code), int), np.arange(1.0, 8), cfg)
-    total = np.exp(before[None, :, :] + earlier[:, None, :] + bias - norm[:, :, None]).sum(axis=2)
-    assert np.allclose(total, 1)
+    cfg = lm.Bilinear(batch=64)
+    net = lm.Net(np.arange(8.0, 1, -1), cfg)
+    w, one, two = rng.integers(0, 7, 300), rng.integers(0, 8, 300), rng.integers(0, 8, 300)
+    for at in range(0, 300, 64):
+        net.learn(w[at: at + 64], one[at: at + 64], two[at: at + 64], rng)
+    items, before, earlier = (x.ravel() for x in np.meshgrid(np.arange(7), np.arange(8), np.arange(8), indexing="ij"))
+    total = np.exp(net.log_prob(items, before, earlier)).reshape(7, -1).sum(axis=0)
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_language_model_learns_what_follows(spark):
+    # each word is followed by one of two: a context tells nearly all that counts alone don't
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(60)])
+    rows = []
+    for i in range(1500):
+        at, out = int(rng.integers(60)), []
+        for _ in range(200):
+            out.append(words[at])
+            at = (7 * at + 3 + int(rng.integers(2))) % 60
+        rows.append((i, " ".join(out)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [r for r in lm.scored(df, lm.Bilinear(vocabulary=8.0, share=1.0)).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.base_score for r in held) / tokens < -1.7
+    assert sum(r.score for r in held) / tokens > -1.0
+
+
+def test_average_weighs_by_meetings():
+    values = [np.full((lm.BLOCK, 3), x, np.float32) for x in (1, 4)]
+    met = [np.r_[3, 0, np.zeros(lm.BLOCK - 2)].astype(np.float32), np.r_[1, 2, np.zeros(lm.BLOCK - 2)].astype(np.float32)]
+    group = lm.pd.DataFrame({
+        "part": [1, 0], "block": [5, 5], "met": [m.tobytes() for m in met], "rows": [v.tobytes() for v in values],
+    })
+    mean = np.frombuffer(lm._average(group)["rows"][0], np.float32).reshape(lm.BLOCK, 3)
+    assert np.allclose(mean[0], 1.75) and np.allclose(mean[1], 4) and np.isnan(mean[2:]).all()
 
 
 def test_vectors_near_and_far(spark):
