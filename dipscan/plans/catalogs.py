@@ -208,7 +208,7 @@ def complete_ephemerides(spark, d):
 
 @query("cell_coercion", """
 SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS value, CASE WHEN o_orderstatus = 'P' THEN 0.5::DOUBLE ELSE (o_totalprice + 0.5::DOUBLE) / 2 END AS err,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_custkey END AS tic_id, CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 0.5::DOUBLE ELSE CAST(o_orderkey AS DOUBLE) END AS t0 FROM orders""")
+  CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_custkey END AS tic_id, CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 0.5::DOUBLE WHEN o_orderkey > 2000000 THEN o_orderkey - 2457000::DOUBLE ELSE CAST(o_orderkey AS DOUBLE) END AS t0 FROM orders""")
 def cell_coercion(spark, d):
     rows = table(spark, d, "orders").selectExpr(
         "o_orderkey", "CASE WHEN o_orderstatus = 'P' THEN '--' ELSE CAST(o_totalprice AS STRING) END AS v", "-0.5D AS lower",
