@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dipscan.operators import kernels as K
 from dipscan.operators import sequence as S
 
 
@@ -20,3 +21,50 @@ def test_interpolation_looks_at_each_row_once(spark):
     assert "currentrow$(), unboundedfollowing$()" not in plan
     got = out.toPandas()
     np.testing.assert_allclose(got["w"], np.clip(got["t_us"] / 1e6, 4, 4 * 997), rtol=1e-12)
+
+
+def curve(kind, n, rng):
+    t = np.sort(rng.integers(0, 3 * n, n))
+    y = 1 + 1e-4 * (np.round(rng.exponential(50, n), 2) - 50)
+    if kind == "outliers":
+        y[rng.integers(0, n, 20)] += rng.normal(0, 10, 20)
+        y[5] = 1e6
+    elif kind == "trend":
+        y += 0.05 * np.sin(t / 1500)
+    elif kind == "ties":
+        y = np.round(y, 3)
+    elif kind == "flat":
+        y[: n // 2] = 1.0
+    return t, y
+
+
+@pytest.mark.parametrize("method", [m for m in K.METHODS if m != "hodges"])
+@pytest.mark.parametrize("kind", ["plain", "outliers", "trend", "ties", "flat"])
+def test_dense_windows_are_as_the_plain_way(monkeypatch, method, kind):
+    """Windows of hundreds of rows: no pass over each window's rows, the same estimates."""
+    t, y = curve(kind, 3000, np.random.default_rng(4))
+    monkeypatch.setattr(K, "DENSE", 10**9, raising=False)
+    want = K.sliding_location(t[::3], t, y, 900, method, K.TUNING.get(method, 0.0), 3)
+    monkeypatch.setattr(K, "DENSE", 256, raising=False)
+    calls, plain = [], K._location
+    monkeypatch.setattr(K, "_location", lambda *a: calls.append(a[0].shape[0]) or plain(*a))
+    got = K.sliding_location(t[::3], t, y, 900, method, K.TUNING.get(method, 0.0), 3)
+    np.testing.assert_allclose(got, want, rtol=0, atol=1e-11 if kind == "outliers" else 3e-15)
+    if kind != "flat":
+        assert not calls
+
+
+def test_wide_running_median(spark, monkeypatch):
+    """A window of more rows than a block: the block widens with it, each row goes to three blocks at most."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    y = rng.normal(size=n)
+    pdf = pd.DataFrame({"k": 1, "t": np.arange(n) / 1000.0, "t_us": np.arange(n) * 86_400_000, "flux": y})
+    monkeypatch.setattr(S, "BLOCK_ROWS", 64)
+    sizes = []
+    monkeypatch.setattr(S, "spread", lambda df, *keys: sizes.append(df.count()) or df)
+    out = S.running_median(spark.createDataFrame(pdf), ["k"], 0.7).toPandas().sort_values("t_us")
+    assert sizes[0] <= 3 * n
+    padded = np.r_[np.full(350, y[0]), y, np.full(350, y[-1])]
+    want = [np.median(padded[i : i + 701]) for i in range(n)]
+    np.testing.assert_array_equal(out["trend"], want)
