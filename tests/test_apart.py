@@ -93,3 +93,33 @@ def test_equal_families_keep_the_longest_top(spark):
     out = H.examine_peaks(spark.createDataFrame(pdf)).toPandas()
     assert sorted(out["tic_id"]) == list(range(60))
     assert set(zip(out["top_period"], out["period"], strict=True)) == {(9.6, 9.6)}
+
+
+def test_blocks_across_batches():
+    """Blocks are cut whole from batches of any size, and settled as each one alone."""
+    rng = np.random.default_rng(11)
+    n = 400
+    at = rng.integers(0, 60, n) / 2.0
+    pdf = pd.DataFrame({
+        "k": np.sort(rng.integers(0, 40, n)), "_number": 0, "_id": np.arange(n), "_x": at, "_at": at,
+        "_own": rng.uniform(0.2, 2.0, n), "_give": 0.3, "_s": rng.integers(0, 30, n).astype(float), "_tie": at,
+        "_then": 0.0, "_wide": 2.0, "_kept": False, "_low": -np.inf, "_high": np.inf,
+    })
+    alone = {i: s for _, x in pdf.groupby("k") for i, s in zip(x["_id"], S._settle(x.reset_index(drop=True)), strict=True)}
+    assert set(alone.values()) == {-1, 1}
+    for size in (1, 3, 7, 50, n):
+        got, blocks = {}, 0
+        for frame, starts in S._whole_blocks((pdf.iloc[i: i + size] for i in range(0, n, size)), ["k", "_number"]):
+            got |= dict(zip(frame["_id"], S._settle(frame, starts), strict=True))
+            blocks += len(starts)
+        assert got == alone and blocks == pdf["k"].nunique()
+
+
+def test_a_short_key_settles_at_once(spark, monkeypatch):
+    """Nothing lies beyond a key's first and last row, so no second round is needed there."""
+    rounds = []
+    write = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, label: rounds.append(label) or write(df, label))
+    rows = spark.createDataFrame([(k, float(i), 0.5, float(i)) for k in range(3) for i in range(5)], "k int, at double, r double, s double")
+    assert S.suppress(rows, ["k"], "at", F.col("r"), "s").count() == 15
+    assert rounds == ["apart", "apart-0"]
