@@ -4,8 +4,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dipscan.operators import quiet
+from dipscan.operators import quiet, stats
 from dipscan.plans import views as V
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,3 +34,19 @@ def test_buckets_by_stretches(spark, monkeypatch):
         assert max(map(len, grid.values())) > 100
         for r in index.placed(df).collect():
             assert r.v_bucket == (0 if r.v is None else np.searchsorted(grid[r.k], r.v, side="right"))
+
+
+def test_open_groups_are_read_once(spark, monkeypatch):
+    """Quantiles of open groups: the rows are derived once, and the sketch's size on disk is known to the join."""
+    rng = np.random.default_rng(9)
+    values = {1: rng.normal(size=5000).round(2), 2: rng.normal(size=7)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x], "k int, v double")
+    labels, write = [], stats.materialize
+    monkeypatch.setattr(stats, "materialize", lambda df, label: labels.append(label) or write(df, label))
+    probs = {"low": 0.0, "mid": 0.5, "p99": 0.99, "high": 1.0}
+    got = stats.quantiles(df, ["k"], F.col("v"), probs, bounded=False)
+    assert labels == ["ranked", "sketch"]
+    for r in got.collect():
+        x = values[r.k]
+        assert r.n == len(x)
+        assert [r[c] for c in probs] == pytest.approx([np.quantile(x, p) for p in probs.values()], abs=1e-12)
