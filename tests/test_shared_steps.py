@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dipscan.operators import quiet, search, stats
+from dipscan.operators import pixels, quiet, search, stats
 from dipscan.plans import views as V
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,3 +73,16 @@ def test_harmonics_meet_once(spark, monkeypatch):
             if near and abs((t - u + low / 2) % low - low / 2) < max(d, e):
                 want[tic, i] = min(want.get((tic, i), j), j)
     assert got == want and len(want) > 10
+
+
+def test_a_small_cone_search_is_spread(spark):
+    """Few bytes make many pairs: the targets are spread over all tasks however small their table."""
+    stars = spark.range(300).coalesce(1).selectExpr(
+        "id AS tic_id", "id % 20 / 2.0D AS ra", "id % 7 / 2.0D AS dec", "10.0D AS tmag", "CAST(NULL AS DOUBLE) AS pmra", "CAST(NULL AS DOUBLE) AS pmdec")
+    targets = stars.withColumnRenamed("tic_id", "target_id").withColumn("t", F.lit(1500.0))
+    got = pixels.cone_search(targets, stars, 7200.0)
+    rows = stars.collect()
+    want = {(a.tic_id, b.tic_id) for a in rows for b in rows
+            if np.hypot(((b.ra - a.ra + 180) % 360 - 180) * np.cos(np.radians(a.dec)) * 3600, (b.dec - a.dec) * 3600) <= 7200.0}
+    assert {(r.target_id, r.tic_id) for r in got.collect()} == want
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
