@@ -68,3 +68,43 @@ def test_wide_running_median(spark, monkeypatch):
     padded = np.r_[np.full(350, y[0]), y, np.full(350, y[-1])]
     want = [np.median(padded[i : i + 701]) for i in range(n)]
     np.testing.assert_array_equal(out["trend"], want)
+
+
+def clipped_by_hand(t, y, size, cfg):
+    """Flags of one gapless curve: median of neighbors, interpolation, robust scatter, until nothing changes."""
+    out, passes = np.zeros(y.size, bool), 0
+    while True:
+        v = y[~out]
+        padded = np.r_[np.full(size // 2, v[0]), v, np.full(size // 2, v[-1])]
+        trend = np.interp(t, t[~out], [np.median(padded[i : i + size]) for i in range(v.size)])
+        resid = y - trend
+        mad = np.median(np.abs(resid[~out] - np.median(resid[~out])))
+        new = resid > cfg.sigma_upper * 1.4826 * mad
+        if cfg.sigma_lower is not None:
+            new |= resid < -cfg.sigma_lower * 1.4826 * mad
+        passes += 1
+        if (new == out).all():
+            return out, passes
+        out = new
+
+
+def test_settled_curves_leave_the_clipping(spark, monkeypatch):
+    """A pass meets only curves whose flags still change; all flags are those of each curve clipped by itself."""
+    rng = np.random.default_rng(3)
+    cfg = S.CleaningConfig(clip_window=0.02)
+    t = np.arange(400)
+    frames, want, passes = [], {}, {}
+    for k, tail in enumerate((0, 40, 80, 160)):
+        y = 1 + 1e-3 * rng.normal(size=t.size).clip(-2, 2)
+        y[rng.choice(t.size, tail, replace=False)] += 0.001 * rng.exponential(3.0, tail)
+        want[k], passes[k] = clipped_by_hand(t, y, 29, cfg)
+        frames.append(pd.DataFrame({"tic_id": k, "sector": 1, "t": t / 1440.0, "t_us": t * 60_000_000, "flux": y}))
+    assert passes[0] == 1 and len(set(passes.values())) > 2
+    met, write = {}, S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, label: met.setdefault(label, write(df, label)))
+    got = S.find_outliers(spark.createDataFrame(pd.concat(frames)), config=cfg).toPandas().sort_values(["tic_id", "t"])
+    assert len(got) == 4 * t.size
+    for k, flags in want.items():
+        np.testing.assert_array_equal(got["outlier"][got["tic_id"] == k], flags)
+    for i in range(max(passes.values())):
+        assert {r.tic_id for r in met[f"clip-fit-{i}"].select("tic_id").distinct().collect()} == {k for k, n in passes.items() if n > i}
