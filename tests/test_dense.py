@@ -108,3 +108,24 @@ def test_settled_curves_leave_the_clipping(spark, monkeypatch):
         np.testing.assert_array_equal(got["outlier"][got["tic_id"] == k], flags)
     for i in range(max(passes.values())):
         assert {r.tic_id for r in met[f"clip-fit-{i}"].select("tic_id").distinct().collect()} == {k for k, n in passes.items() if n > i}
+
+
+def test_flags_that_go_round_end(spark):
+    """Flags that alternate end the loop with the fewer of the two; passes that are counted run as they are told."""
+    cfg = S.CleaningConfig(clip_window=15 / 1440)
+    t = np.arange(100)
+    y = np.round(1 + 1e-3 * np.random.default_rng(384).exponential(1.0, 100), 4)
+    seen = [np.zeros(100, bool)]
+    for _ in range(40):
+        kept = y[~seen[-1]]
+        padded = np.r_[np.full(7, kept[0]), kept, np.full(7, kept[-1])]
+        resid = y - np.interp(t, t[~seen[-1]], [np.median(padded[i : i + 15]) for i in range(kept.size)])
+        off = resid[~seen[-1]]
+        seen.append(resid > 4 * 1.4826 * np.median(np.abs(off - np.median(off))))
+    a, b = seen[-2:]
+    assert (seen[-3] == b).all() and a.sum() != b.sum()
+    flux = spark.createDataFrame(pd.DataFrame({"tic_id": 1, "sector": 1, "t": t / 1440.0, "t_us": t * 60_000_000, "flux": y}))
+    got = S.find_outliers(flux, config=cfg).orderBy("t").toPandas()["outlier"]
+    np.testing.assert_array_equal(got, min(a, b, key=np.sum))
+    two = S.find_outliers(flux, config=cfg, passes=2).orderBy("t").toPandas()["outlier"]
+    np.testing.assert_array_equal(two, seen[2])
