@@ -7,8 +7,8 @@ number of distinct training tokens. Words are cut by rank into as many classes a
 words; a token's probability is its class's times its own within the class. Both are log-bilinear:
 the dot product of the summed context vectors and the class's or word's vector, plus a bias.
 
-A fixed share of all training tokens, at random places of all training rows, is fitted, so what is
-learned grows in proportion to the corpus. Rows fall into ``rounds`` by a hash; in each round every
+Every training token is fitted once, in random order within its block, so what is learned grows in
+proportion to the corpus. Rows fall into ``rounds`` by a hash; in each round every
 task takes noise-contrastive steps on its own rows in numpy, starting from the parameters of the
 round before, and the tasks' parameters are averaged in Spark, block by block, each weighted by how often
 the task met it. Parameters are float32, (3 * vocabulary + classes) * (size + 2) of them: some 15 MB
@@ -56,7 +56,7 @@ class Bilinear:
     frequent: int = 262_144  # words whose counts every task holds, at least the vocabulary
     rounds: int = 4  # averaged passes, each over its own share of the rows
     noise: int = 8  # words drawn per class and batch, and classes per batch
-    share: float = 0.2  # of every training text's tokens, fitted once
+    share: float = 1.0  # of every training text's tokens, fitted once: all, unless a caller asks for fewer
     batch: int = 256
     rate: float = 0.3
     start: float = 10.0  # of the sums of squared gradients: larger makes first steps shorter

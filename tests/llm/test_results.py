@@ -397,3 +397,21 @@ def test_minhash_tells_texts_of_one_id_apart(spark):
     assert got[(None, 16, None, True)] == 2 and got[(6, 0, 6, True)] == 2
     stay = sorted((r.doc_id or 0, r.text or "") for r in minhash.deduplicated(docs).collect())
     assert stay == sorted([(0, a), (0, a), (1, a), (2, rows[-1][1]), (3, b), (6, ""), (7, "")])
+
+
+def test_language_model_fits_every_token(monkeypatch):
+    """Unless asked for fewer, training meets each token of each text once."""
+    cfg, met = lm.Bilinear(batch=64), []
+    words = np.unique(np.r_[lm.X.word_hashes(np.frombuffer(b"ab", np.uint8), np.array([0, 1]), np.array([1, 2])).view(np.int64), lm.END])
+    net = lm.Net(np.arange(4.0, 0, -1), cfg)
+    shared = type("Shared", (), {"value": {
+        "unigram": np.arange(4.0, 0, -1), "table": net.table, "gain": net.gain, "round": 0,
+        "vocab": words, "place": np.arange(3), "other": 3,
+    }})
+    monkeypatch.setattr(lm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Part", (), {"partitionId": lambda self: 0})())}))
+    monkeypatch.setattr(lm.Net, "learn", lambda self, w, one, two, rng: met.extend(w.tolist()))
+    texts = lm.pa.RecordBatch.from_arrays([lm.pa.array(["a b c " * 100, "a", None])], ["text"])
+    list(lm._train(shared, cfg)([texts]))
+    counts = dict(zip(*np.unique(met, return_counts=True), strict=True))
+    place = {int(h): i for i, h in enumerate(words)}
+    assert len(met) == 301 + 2 + 1 and counts[3] == 100 and counts[place[int(lm.END)]] == 3
