@@ -129,3 +129,18 @@ def test_flags_that_go_round_end(spark):
     np.testing.assert_array_equal(got, min(a, b, key=np.sum))
     two = S.find_outliers(flux, config=cfg, passes=2).orderBy("t").toPandas()["outlier"]
     np.testing.assert_array_equal(two, seen[2])
+
+
+@pytest.mark.parametrize("kind", ["plain", "outliers", "trend", "ties", "flat"])
+def test_dense_hodges_is_as_all_pairs(monkeypatch, kind):
+    """Neighboring windows are settled together, to the same numbers, and none goes row by row."""
+    t, y = curve(kind, 3000, np.random.default_rng(4))
+    t = t + np.where(t > 6000, 5000, 0)
+    at = t[::40]
+    monkeypatch.setattr(K, "DENSE", 10**9)
+    want = K.sliding_location(at, t, y, 900, "hodges", 0.0, 3)
+    monkeypatch.setattr(K, "DENSE", 256)
+    calls, plain = [], K._location
+    monkeypatch.setattr(K, "_location", lambda *a: calls.append(a[0].shape[0]) or plain(*a))
+    np.testing.assert_array_equal(K.sliding_location(t, t, y, 900, "hodges", 0.0, 3)[::40], want)
+    assert not calls
