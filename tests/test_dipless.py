@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 
 from dipscan.operators import search as H
+from dipscan.operators import vetting as T
 from dipscan.operators.dipless import Curve
+from dipscan.operators.stats import curve_stats
 
 
 def by_rows(t_us, flux, p, t0, d, phases, closed, reach=1.0):
@@ -49,7 +51,7 @@ def test_scatter_is_that_of_the_rows_left(digits, phases, closed, reach):
 
 def frames(spark):
     t_us, flux, p, t0, d = draw(4000, 6, 60)
-    lc = spark.createDataFrame(pd.DataFrame({"tic_id": 1, "t_us": t_us, "t": t_us / 86400e6, "flux": flux}))
+    lc = spark.createDataFrame(pd.DataFrame({"tic_id": 1, "sector": 1, "t_us": t_us, "t": t_us / 86400e6, "flux": flux}))
     table = pd.DataFrame({"cand_id": np.arange(60), "tic_id": 1, "period": p, "t0": t0, "duration": d, "depth": 0.01, "n_transits": 3})
     return lc, spark.createDataFrame(table[2.002 * table.duration < table.period]), (t_us, flux, p, t0, d)
 
@@ -77,3 +79,17 @@ def test_rows_are_met_where_curves_are_too_long(spark, monkeypatch):
     monkeypatch.setattr(dipless, "CURVE_ROWS", 100)
     got = H.red_noise_snr(lc, cands).toPandas().set_index("cand_id")["snr"].sort_index()
     np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_noise_meets_no_rows(spark, monkeypatch):
+    """Where dips at both phases leave under 100 rows, those outside the dip count: by the same searches."""
+    lc, cands, (t_us, flux, p, t0, d) = frames(spark)
+    p[-1], d[-1] = 0.5, 0.15
+    last = pd.DataFrame([(59, 1, 0.5, t0[-1], 0.15, 0.01, 3)], columns=cands.columns)
+    cands = cands.where("cand_id < 59").unionByName(spark.createDataFrame(last))
+    monkeypatch.setattr(T, "QuietCurves", refuse)
+    got = T.noise_properties(lc, cands, curve_stats(lc)).toPandas().set_index("cand_id")
+    assert len(got) == cands.count()
+    for i in got.index:
+        rule = ((0.0,), True, 0.5) if i == 59 else ((0.0, 0.5), True)
+        assert got.loc[i, "sigma"] == pytest.approx(by_rows(t_us, flux, p[i], t0[i], d[i], *rule)[0], rel=1e-12)
