@@ -93,3 +93,9 @@ def test_noise_meets_no_rows(spark, monkeypatch):
     for i in got.index:
         rule = ((0.0,), True, 0.5) if i == 59 else ((0.0, 0.5), True)
         assert got.loc[i, "sigma"] == pytest.approx(by_rows(t_us, flux, p[i], t0[i], d[i], *rule)[0], rel=1e-12)
+
+
+def test_no_candidate_is_settled():
+    t_us, flux, p, t0, d = draw(40, 6, 30)
+    settled, few, *_ = Curve(t_us, t_us / 86400e6, flux, True).scatter(p, t0, d, (0.0,), True, True, 100)
+    assert few.all() and not settled.any()
