@@ -99,3 +99,38 @@ def test_no_candidate_is_settled():
     t_us, flux, p, t0, d = draw(40, 6, 30)
     settled, few, *_ = Curve(t_us, t_us / 86400e6, flux, True).scatter(p, t0, d, (0.0,), True, True, 100)
     assert few.all() and not settled.any()
+
+
+@pytest.mark.parametrize("digits", [12, 5, 2])
+@pytest.mark.parametrize("shares", [(1 / 256, 1 / 32), (1 / 4000, 1 / 40), (0.49,)])
+def test_bands_give_what_all_places_give(monkeypatch, digits, shares):
+    """Answers are looked for in narrow bands of values first; those beyond them meet all places."""
+    from dipscan.operators import dipless
+
+    t_us, flux, p, t0, d = draw(20000, digits, 80, seed=5)
+    flux[(t_us // 86400e6) % 4 == 1] -= 0.001  # some candidates take most of these
+    monkeypatch.setattr(dipless, "BANDS", shares)
+    monkeypatch.setattr(dipless, "BAND_ROWS", 1 << 60)
+    whole = Curve(t_us, t_us / 86400e6, flux, True).scatter(p, t0, d, (0.0, 0.5), True, True, 100)
+    met = []
+    monkeypatch.setattr(dipless, "BAND_ROWS", 1 << 13)
+    rows = dipless._Band.rows
+    monkeypatch.setattr(dipless._Band, "rows", lambda band, *part: met.append(band) or rows(band, *part))
+    for listed in (256, 0):
+        monkeypatch.setattr(dipless, "LISTED", listed)
+        banded = Curve(t_us, t_us / 86400e6, flux, True).scatter(p, t0, d, (0.0, 0.5), True, True, 100)
+        for a, b in zip(banded, whole, strict=True):
+            np.testing.assert_array_equal(a, b)
+    assert met
+    for i in np.flatnonzero(whole[0])[::9]:
+        np.testing.assert_allclose((whole[2][i], whole[3][i]), by_rows(t_us, flux, p[i], t0[i], d[i], (0.0, 0.5), True), rtol=0, atol=1e-13)
+
+
+def test_candidates_of_one_duration_share_their_bins(monkeypatch):
+    """Bin edges are looked up once for candidates with one first row and duration, not for each candidate."""
+    t_us, flux, p, t0, d = draw(4000, 12, 80)
+    curve, asked = Curve(t_us, t_us / 86400e6, flux, True), []
+    edges = Curve._edges
+    monkeypatch.setattr(Curve, "_edges", lambda self, x0, *more: asked.append(x0.size) or edges(self, x0, *more))
+    settled, *_ = curve.scatter(p, t0, d, (0.0,), False, False, 0)
+    assert settled.sum() > 70 and sum(asked) < 40
