@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dipscan.operators import kernels as K
 from dipscan.operators import sequence as S
+from dipscan.operators import windows
 
 
 def test_interpolation_looks_at_each_row_once(spark):
@@ -144,3 +145,41 @@ def test_dense_hodges_is_as_all_pairs(monkeypatch, kind):
     monkeypatch.setattr(K, "_location", lambda *a: calls.append(a[0].shape[0]) or plain(*a))
     np.testing.assert_array_equal(K.sliding_location(t, t, y, 900, "hodges", 0.0, 3)[::40], want)
     assert not calls
+
+
+def plain_hodges(y, lo, hi):
+    out = []
+    for a, b in zip(lo, hi, strict=True):
+        x = y[a:b]
+        i, j = np.triu_indices(x.size)
+        sums = np.sort(x[i] + x[j])
+        out.append(0.25 * (sums[(sums.size + 1) // 2 - 1] + sums[sums.size // 2]))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("kind", ["distinct", "ties", "one", "steps"])
+@pytest.mark.parametrize("limits", [(8, 256, 1 << 21, 1 << 15), (0, 0, 1 << 21, 1 << 15), (1, 1, 300, 16)])
+def test_hodges_counts_for_all_windows(monkeypatch, kind, limits):
+    """Windows of all lengths, some apart and some the same, with many listed sums or none: as sorting all sums of each."""
+    rng = np.random.default_rng(8)
+    y = {"distinct": rng.normal(size=700), "ties": rng.integers(0, 9, 700) / 7, "one": np.full(700, 0.3),
+         "steps": np.round(rng.normal(size=700), 1) + 3 * (np.arange(700) > 300)}[kind]
+    lo = np.sort(rng.integers(0, 560, 300))
+    hi = np.maximum.accumulate(lo + rng.integers(1, 140, 300))
+    for name, value in zip(("PAIRS_PER_ROW", "PAIRS_PER_WINDOW", "MOST_PAIRS", "COARSE"), limits, strict=True):
+        monkeypatch.setattr(windows, name, value)
+    np.testing.assert_array_equal(windows.hodges(y, lo, hi), plain_hodges(y, lo, hi))
+
+
+def test_hodges_windows_go_together(monkeypatch):
+    """As many windows as one has rows meet a bound at once, and few pairs are listed for each."""
+    rng = np.random.default_rng(2)
+    y = rng.exponential(size=9000)
+    lo = np.arange(5000)
+    together, listed = [], []
+    count, pairs = windows._Run.count, windows._pairs
+    monkeypatch.setattr(windows._Run, "count", lambda run, bound, a, b: together.append(b - a) or count(run, bound, a, b))
+    monkeypatch.setattr(windows, "_pairs", lambda a, n: listed.append(n.sum()) or pairs(a, n))
+    got = windows.hodges(y, lo, lo + 4000)
+    assert max(together) == 4000 and sum(together) < 60 * lo.size and sum(listed) < 1000 * lo.size
+    np.testing.assert_array_equal(got[::1250], plain_hodges(y, lo[::1250], lo[::1250] + 4000))
